@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, language_id, quality, sharding
+from rillwork.llm import bpe, language_id, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.query,
     "op4_quality_classifier": quality.query,
     "op5_byte_bpe": bpe.query,
     "op6_sharding": sharding.query,
+    "op9_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
