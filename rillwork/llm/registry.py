@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, language_id, pii, quality, sharding
+from rillwork.llm import bpe, decontaminate, language_id, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": decontaminate.query,
     "op3_language_id": language_id.query,
     "op4_quality_classifier": quality.query,
     "op5_byte_bpe": bpe.query,
