@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, decontaminate, language_id, pii, quality, sharding
+from rillwork.llm import bpe, decontaminate, language_id, pii, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": decontaminate.query,
@@ -14,7 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality.query,
     "op5_byte_bpe": bpe.query,
     "op6_sharding": sharding.query,
+    "op8_exact_topk": topk.query,
     "op9_pii": pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk": topk.SQL,
+}
