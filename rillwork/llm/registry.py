@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, decontaminate, language_id, pii, quality, sharding, topk
+from rillwork.llm import bpe, decontaminate, html_extract, language_id, pii, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": sharding.query,
     "op8_exact_topk": topk.query,
     "op9_pii": pii.query,
+    "op10_html_extraction": html_extract.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
