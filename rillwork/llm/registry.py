@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, decontaminate, html_extract, language_id, pii, quality, sharding, topk
+from rillwork.llm import bpe, decontaminate, html_extract, jaccard, language_id, pii, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op2_benchmark_decontamination": decontaminate.query,
     "op3_language_id": language_id.query,
     "op4_quality_classifier": quality.query,
