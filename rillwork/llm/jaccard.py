@@ -39,12 +39,15 @@ WORDS = 5
 #: Percent.
 THRESHOLD = 75
 #: Classes verified together.
-BLOCK = 1024
+BLOCK = 512
 #: A token in so many classes of one batch is sent as a mark.
 HOT = 48
 BATCH_CHARS = 8 << 20
-_BUCKET_BITS = 6
-BUCKETS = 1 << _BUCKET_BITS
+#: Documents a bucket, about; the number of buckets is a power of two that grows with the input.
+PER_BUCKET = 4096
+_LEAST_BITS, _MOST_BITS = 6, 14
+#: A token is the top 54 bits of its hash, the bucket's bits first; a key has the frequency (8 bits) above it.
+_TOKEN_BITS = 54
 _DF_MOST = 255
 
 _WHITE = np.zeros(256, dtype=bool)
@@ -146,77 +149,75 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(head["class"], head["count"]), np.repeat(head["n"], head["count"]), tokens.view("<u8").reshape(-1)
 
 
-_LOW = np.uint64((1 << 48) - 1)
+def _bucket_low(token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and what is left below it (48 bits at most)."""
+    return (token >> np.uint64(_TOKEN_BITS - bits)).astype(np.int64), token & np.uint64((1 << (_TOKEN_BITS - bits)) - 1)
 
 
-def _split(batches, words: int):
+def _split(batches, words: int, bits: int):
     """Step 1, before the shuffle: rows of documents, and each batch's tokens by bucket."""
-    turn = 0
+    turn, buckets = 0, 1 << bits
 
-    def emit(ids, texts):
+    def emit(ids, texts, names):
         nonlocal turn
         sets = shingle_sets(texts, words)
         rows, seen = [], {}
-        for i, s in zip(ids, sets):
+        for i, s, name in zip(ids, sets, names):
             c = class_of(s) if len(s) else None
-            rows.append((turn % BUCKETS, DOC, i, len(s), c, None))
+            rows.append((turn % buckets, DOC, i, len(s), c, name))
             turn += 1
             if c is not None:
                 seen.setdefault(c, s)
         if seen:
             own = sorted(seen)
             size = np.array([len(seen[c]) for c in own])
-            token = np.concatenate([seen[c] for c in own])
+            token = np.concatenate([seen[c] for c in own]) >> np.uint64(64 - _TOKEN_BITS)
             classes, sizes = np.repeat(np.array(own, dtype=np.int64), size), np.repeat(size, size)
-            bucket = (token >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
             order = np.argsort(token, kind="stable")
             edge = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
             df = np.diff(np.append(edge, len(token)))
             hot = np.zeros(len(token), dtype=bool)
             hot[order] = np.repeat(df >= HOT, df)
-            marks = token[order][edge][df >= HOT]
-            for b in np.unique(marks >> np.uint64(64 - _BUCKET_BITS)).tolist():
-                mine = marks[marks >> np.uint64(64 - _BUCKET_BITS) == b]
-                rows.append((b, MARKS, None, None, None, (mine & _LOW).astype("<u8").tobytes()))
+            to, low = _bucket_low(token[order][edge][df >= HOT], bits)
+            for b in np.unique(to).tolist():
+                rows.append((b, MARKS, None, None, None, low[to == b].astype("<u8").tobytes()))
             if hot.any():
-                key = np.uint64(_DF_MOST << 54) | ((token[hot] >> np.uint64(58)) << np.uint64(48)) | (token[hot] & _LOW)
-                rows += _shared_rows(classes[hot], sizes[hot], key, turn)
+                rows += _shared_rows(classes[hot], sizes[hot], np.uint64(_DF_MOST << _TOKEN_BITS) | token[hot], turn, buckets)
+            to, low = _bucket_low(token, bits)
             order = np.flatnonzero(~hot)
-            order = order[np.argsort(bucket[order], kind="stable")]
-            cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
+            order = order[np.argsort(to[order], kind="stable")]
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    rows.append((b, TOKENS, None, None, None, _pack(classes[at], sizes[at], token[at] & _LOW)))
+                rows.append((b, TOKENS, None, None, None, _pack(classes[at], sizes[at], low[at])))
         return _table(rows)
 
-    ids, texts, chars = [], [], 0
+    held, chars = [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            chars += len(t or "") + 100
+        for row in zip(*(b.column(i).to_pylist() for i in range(3))):
+            held.append(row)
+            chars += len(row[1] or "") + 100
             if chars >= BATCH_CHARS:
-                yield emit(ids, texts)
-                ids, texts, chars = [], [], 0
-    if ids:
-        yield emit(ids, texts)
+                yield emit(*zip(*held))
+                held, chars = [], 0
+    if held:
+        yield emit(*zip(*held))
 
 
-def _shared_rows(classes, sizes, keys, spread: int) -> list[tuple]:
+def _shared_rows(classes, sizes, keys, spread: int, buckets: int) -> list[tuple]:
     """Packed keys of classes, by class bucket (in n; the row's own bucket only spreads it)."""
-    to = (classes.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    to = (classes.view(np.uint64) & np.uint64(buckets - 1)).astype(np.int64)
     order = np.lexsort((classes, to))
-    cuts = np.searchsorted(to[order], np.arange(BUCKETS + 1))
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
     rows = []
-    for c in range(BUCKETS):
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
             own, n, key = classes[at], sizes[at], keys[at]
             edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             head = np.zeros(len(edge), dtype=_GROUP)
             head["class"], head["n"], head["count"] = own[edge], n[edge], np.diff(np.append(edge, len(own)))
-            rows.append(((spread + c) % BUCKETS, SHARED, None, c, None, len(edge).to_bytes(4, "little") + head.tobytes() + key.astype("<u8").tobytes()))
+            rows.append(((spread + c) % buckets, SHARED, None, c, None, len(edge).to_bytes(4, "little") + head.tobytes() + key.astype("<u8").tobytes()))
     return rows
 
 
@@ -230,7 +231,7 @@ def _by_kind(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.compute.equal(table.column("kind"), kind))
 
 
-def _share(table: pa.Table) -> pa.Table:
+def _share(table: pa.Table, bits: int) -> pa.Table:
     """Step 1, in a token bucket: keys (frequency, bucket, token) of the tokens that two classes or more hold."""
     import pyarrow.compute  # noqa: F401
 
@@ -263,8 +264,8 @@ def _share(table: pa.Table) -> pa.Table:
                 df[np.isin(token[edge], marks)] = _DF_MOST
             df = np.repeat(df, run).astype(np.uint64)
             keep = df >= 2
-            key = (df << np.uint64(54)) | np.uint64(b << 48) | token
-            rows = _shared_rows(classes[keep], sizes[keep], key[keep], b)
+            key = (df << np.uint64(_TOKEN_BITS)) | np.uint64(b << (_TOKEN_BITS - bits)) | token
+            rows = _shared_rows(classes[keep], sizes[keep], key[keep], b, 1 << bits)
     out = pa.concat_tables([*passing, pa.Table.from_batches([_table(rows)])]).combine_chunks()
     # Shared keys go on to their class's bucket.
     to = pa.compute.if_else(pa.compute.equal(out.column("kind"), SHARED), out.column("n").cast(pa.int32()), out.column("bucket"))
@@ -347,7 +348,7 @@ def _chains(p: np.ndarray, union: _Union) -> np.ndarray:
     return out
 
 
-def _postings(batches):
+def _postings(batches, buckets: int):
     """Step 3, before the shuffle: prefix postings, chained within the task; rows (bucket, kind 0 intervals / 1 edges, blob)."""
 
     def emit(n, classes, sets):
@@ -362,13 +363,13 @@ def _postings(batches):
             own["key"], own["low"], own["high"], own["class"] = keys[:k], m, m, c
             parts.append(own)
         p = _chains(np.concatenate(parts), union)
-        to = (_mix(p["key"]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        to = (_mix(p["key"]) & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(BUCKETS + 1))
-        rows = [(b, 0, p[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in range(BUCKETS) if cuts[b] < cuts[b + 1]]
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        rows = [(b, 0, p[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
         pairs = np.array(union.edges(), dtype="<i8").reshape(-1, 2)
-        for b in range(BUCKETS):
-            mine = pairs[b::BUCKETS]
+        for b in range(min(buckets, len(pairs))):
+            mine = pairs[b::buckets]
             if len(mine):
                 rows.append((b, 1, mine.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
@@ -458,17 +459,29 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of documents (kind DOC: doc_id, n, class) and the sets of the classes that may link (kind SET), stored once."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _split(it, words), _ROW)
-    shared = rows.groupBy("bucket").applyInArrow(_share, _ROW)
+def bucket_bits(docs: DataFrame) -> int:
+    return min(_MOST_BITS, max(_LEAST_BITS, (docs.count() // PER_BUCKET).bit_length()))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds row_key: a name of (doc_id, text)."""
+    return docs.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit(":"), "text"))).cast("binary")))
+
+
+def classes_of(docs: DataFrame, bits: int, words: int = WORDS, named: bool = False) -> DataFrame:
+    """Rows of documents (kind DOC: doc_id, n, class, and with named the row_key as blob) and the sets of the classes that may link
+    (kind SET), stored once."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    texts = _named(texts).withColumn("row_key", F.unhex("row_key")) if named else texts.withColumn("row_key", F.lit(None).cast("binary"))
+    rows = texts.mapInArrow(lambda it: _split(it, words, bits), _ROW)
+    shared = rows.groupBy("bucket").applyInArrow(lambda t: _share(t, bits), _ROW)
     return stored(shared.groupBy("bucket").applyInArrow(_live, _ROW))
 
 
-def link_classes(rows: DataFrame) -> DataFrame:
+def link_classes(rows: DataFrame, bits: int) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     sets = rows.where(F.col("kind") == SET).select("n", "class", "blob")
-    postings = sets.mapInArrow(_postings, "bucket int, kind int, blob binary")
+    postings = sets.mapInArrow(lambda it: _postings(it, 1 << bits), "bucket int, kind int, blob binary")
     cluster = components(postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long"))
     cluster = stored(cluster)
     size = cluster.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("component", "blocks")
@@ -479,21 +492,37 @@ def link_classes(rows: DataFrame) -> DataFrame:
     part = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0))), lambda j: F.when(j + (j >= F.col("block")).cast("int") < F.col("block"), F.concat_ws("-", j, "block")).otherwise(F.concat_ws("-", "block", j + (j >= F.col("block")).cast("int"))))
     member = member.withColumn("part", F.explode(F.when(F.col("blocks") > 1, part).otherwise(F.array(F.lit("")))))
     member = member.select("n", "class", "blob", F.col("component").alias("cluster"), F.xxhash64("part").alias("part"))
-    links = member.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 * BUCKETS)).cast("int")).groupBy("bin").applyInArrow(_verify, "a long, b long")
+    links = member.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 << bits)).cast("int")).groupBy("bin").applyInArrow(_verify, "a long, b long")
     return components(links)
 
 
-def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    rows = classes_of(docs, words)
-    of_doc = rows.where(F.col("kind") == DOC).select("doc_id", F.col("n").alias("n_shingles"), "class")
-    linked = link_classes(rows)
+def _joined(docs: DataFrame, words: int, named: bool) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id, row_key) of every row."""
+    bits = bucket_bits(docs)
+    rows = classes_of(docs, bits, words, named)
+    of_doc = rows.where(F.col("kind") == DOC).select("doc_id", F.col("n").alias("n_shingles"), "class", F.hex("blob").alias("row_key"))
+    linked = link_classes(rows, bits)
     own = of_doc.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
     own = own.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    to = own.join(first, "component").select("class", "component_id")
-    found = of_doc.join(to, "class", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    to = own.join(first, "component").select("class", "component", "component_id")
+    return of_doc.join(to, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return _joined(docs, words, False).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of each group of linked rows, all columns kept: that of the smallest doc_id, of equal ids the first by content.  Rows
+    without a shingle link with nothing and all stay; rows equal in doc_id and text are one."""
+    found = _joined(docs, words, True).where(F.col("class").isNotNull())
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select(F.lower("best.row_key").alias("row_key"))
+    named = _named(docs)
+    has_words = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    kept = named.where(has_words).join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*docs.columns).unionByName(docs.where(~has_words | F.col("text").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
