@@ -35,7 +35,7 @@ _SPACE = r"\t-\r \x85\xA0  -     　"
 #: Longer pieces are merged with a heap.
 FOLD_BYTES = 64
 #: A page ends after so many characters of text (a longer text is a page of its own).
-PAGE_CHARS = 24 << 20
+PAGE_CHARS = 12 << 20
 NO_RANK = 1 << 30
 
 
