@@ -197,19 +197,22 @@ def fit(labelled: DataFrame) -> Model:
     return Model({lang: sorted(own) for lang, own in texts.items()})
 
 
+def _slices(batch: pa.RecordBatch, n_text: int, chars: int = 8 << 20):
+    """Parts of a batch of bounded text, so that memory follows characters and not rows."""
+    sizes = np.cumsum([0, *(len(t.as_py() or "") for t in batch.column(n_text))])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + chars, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _predict(batches, model):
-    for b in batches:
-        found, step = [], 0
-        texts = b.column(1)
-        while step < b.num_rows:  # in parts, so that memory is bounded by characters and not by rows
-            stop, chars = step, 0
-            while stop < b.num_rows and (stop == step or chars < (8 << 20)):
-                chars += len(texts[stop].as_py() or "")
-                stop += 1
-            found += model.value.predict(texts.slice(step, stop - step).to_pylist())
-            step = stop
-        cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-        yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *cols], names=[b.schema.names[0], *b.schema.names[2:], "lang_pred", "score"])
+    for whole in batches:
+        for b in _slices(whole, 1):
+            found = model.value.predict(b.column(1).to_pylist())
+            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *cols], names=[b.schema.names[0], *b.schema.names[2:], "lang_pred", "score"])
 
 
 def held_out(doc_id=None):
@@ -225,6 +228,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return frame.mapInArrow(lambda it: _predict(it, shared), f"{fields}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language can be told, all columns kept; a null lang is filled in."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n_text, n_lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        for b in batches:
+            for part in _slices(b, n_text):
+                found = [f[0] for f in shared.value.predict(part.column(n_text).to_pylist())]
+                cols = list(part.columns)
+                cols[n_lang] = pa.array([own if own is not None else new for own, new in zip(cols[n_lang].to_pylist(), found)], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
