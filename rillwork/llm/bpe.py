@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space by the Unicode property; Java's \s has only ASCII.
-_SPACE = r"\t-\r \x85\xA0  -     　"
+_SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Longer pieces are merged with a heap.
 FOLD_BYTES = 64
 #: A page ends after so many characters of text (a longer text is a page of its own).
