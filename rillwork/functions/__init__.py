@@ -1 +1 @@
-
+"""Registered functions and the partitioner's hash."""

@@ -1 +1 @@
-
+"""The lazy dataset API."""

@@ -1 +1 @@
-
+"""Sources of records."""
