@@ -38,7 +38,9 @@ def text_file(spark: SparkSession, path: str, num_partitions: int) -> DataFrame:
     _regular_file(spark, path)
     plain = re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
     lines = spark.read.option("lineSep", "\n").text(plain)
-    return lines.select(F.regexp_replace("value", r"\r\z", "").alias("record"), F.col("_metadata.file_block_start").alias("ord_major"), F.monotonically_increasing_id().alias("ord_minor"))
+    v = F.col("value")  # cut by characters, not by a pattern: patterns replace bytes that aren't UTF-8
+    line = F.when(v.endswith("\r"), F.substring(v, F.lit(1), F.length(v) - 1)).otherwise(v)
+    return lines.select(line.alias("record"), F.col("_metadata.file_block_start").alias("ord_major"), F.monotonically_increasing_id().alias("ord_minor"))
 
 
 def from_frame(make: Callable[[SparkSession], DataFrame]) -> Source:
