@@ -2,14 +2,16 @@
 
 How it works
     1. The JVM cuts every text into pieces with the tokenizer's pattern.
-    2. Each task packs its rows into *pages*: the distinct pieces of the page, and for every document
-       the sequence of piece numbers.  A piece is held as a byte array, one latin-1 character a byte.
-    3. A higher-order fold merges the adjacent pair of lowest rank of every distinct piece until no pair has
-       a rank.  Ranks come from a literal map; a second expression decodes the ids by concatenating
-       the binary pieces of a literal id table.
-    4. The page is unpacked: ids and decoded bytes of every document are gathered by piece number.
+    2. The commonest pieces of a bounded sample of documents are folded once and broadcast as a dictionary of at most
+       ``DICTIONARY`` pieces.  It is a cache: it changes how often a piece is folded, and no result.
+    3. Each task packs its rows into *pages*: the distinct pieces of the page that the dictionary lacks, and for every document the
+       sequence of piece numbers.  A piece is held as a byte array, one latin-1 character a byte.
+    4. A higher-order fold merges the adjacent pair of lowest rank of every distinct piece until no pair has a rank.  Ranks come
+       from a literal rank map.
+    5. The page is unpacked: a document's ids are gathered by piece number, and its text is decoded by joining the binary
+       pieces of its ids.
 
-    No step shuffles, so no key can be hot; memory is bounded by the page size and by the longest text.
+    No step shuffles documents, so no key can be hot; memory is bounded by the page size and by the longest text.
 
 Defined results
     null text is encoded as the empty text: no ids, empty bytes.  Repeated rows each give a row.  Extra
@@ -26,16 +28,22 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import stored
+
 #: White space by the Unicode property; Java's \s has only ASCII.
 _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Longer pieces are merged with a heap.
 FOLD_BYTES = 64
 #: A page ends after so many characters of text (a longer text is a page of its own).
-PAGE_CHARS = 12 << 20
+PAGE_CHARS = 6 << 20
+#: Documents of the sample (about) that the dictionary is taken from, and the most pieces it holds.
+SAMPLE_DOCS = 40_000
+DICTIONARY = 1 << 19
 NO_RANK = 1 << 30
 
 
@@ -62,8 +70,10 @@ def java_pattern(pattern: str) -> str:
 
 
 class RankMap:
-    """A literal map from byte strings to ranks: arrays with a displacement for each bucket, so that a lookup
-    reads one slot.  Flat arrays keep the serialized plan small and quick to read in each task."""
+    """A literal map from byte strings to ranks.
+
+    A map literal is searched from its start, so the map is laid out as a perfect hash: each bucket of keys has a displacement that
+    sends its keys to free slots of one flat table, and a lookup reads one slot.  Flat arrays also keep the plan quick to send."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.slots = 1 << max(4, (len(ranks) * 5 // 4).bit_length())
@@ -74,26 +84,27 @@ class RankMap:
             h = xxhash.xxh64_intdigest(s.encode(), seed=42)
             by_bucket.setdefault(h & (self.buckets - 1), []).append((h >> 24, s, rank))
         self.keys, self.ranks, self.shift = [""] * self.slots, [NO_RANK] * self.slots, [0] * self.buckets
-        taken = bytearray(self.slots)
+        taken, mask = bytearray(self.slots), self.slots - 1
         for bucket, items in sorted(by_bucket.items(), key=lambda kv: -len(kv[1])):
             d = 0
             while True:
-                at = {(h + d * ((h >> 17) | 1)) & (self.slots - 1) for h, _, _ in items}
+                at = {(h + d * ((h >> 17) | 1)) & mask for h, _, _ in items}
                 if len(at) == len(items) and not any(taken[a] for a in at):
                     break
                 d += 1
             self.shift[bucket] = d
             for h, s, rank in items:
-                a = (h + d * ((h >> 17) | 1)) & (self.slots - 1)
+                a = (h + d * ((h >> 17) | 1)) & mask
                 taken[a], self.keys[a], self.ranks[a] = 1, s, rank
-        self.by_id = [""] * (max(ranks.values(), default=-1) + 1)
+        self.pairs = [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
+        self.by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.by_id[rank] = token.decode("latin-1")
+            self.by_id[rank] = token
+
 
-    def literals(self) -> tuple[Column, Column, Column, Column]:
-        """Keys, ranks, displacements, and the token of each id, as foldable columns."""
-        lit = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)
-        return lit(self.keys, "array<string>"), lit(self.ranks, "array<int>"), lit(self.shift, "array<int>"), lit(self.by_id, "array<string>")
+def _literal(values: list, kind: str) -> Column:
+    """A list as a foldable column."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def _let(value: Column, use) -> Column:
@@ -101,18 +112,22 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold_expressions(ranks: RankMap, word: Column) -> Column:
-    """struct(ids array<int>, bytes binary) of one piece of 1 to FOLD_BYTES bytes, given as latin-1 characters."""
-    keys, values, shift, by_id = ranks.literals()
+def with_map(ranks: RankMap, use) -> Column:
+    """use(map), with the literal rank map in the plan once, however often it is read."""
+    parts = {"keys": "array<string>", "ranks": "array<int>", "shift": "array<int>", "pairs": "array<int>"}
+    return _let(F.struct(*(_literal(getattr(ranks, k), kind).alias(k) for k, kind in parts.items())), use)
 
-    def rank(s: Column) -> Column:
-        def slot(h: Column) -> Column:
-            high = F.shiftrightunsigned(h, 24)
-            step = F.shiftrightunsigned(h, 41).bitwiseOR(F.lit(1))
-            d = F.get(shift, h.bitwiseAND(F.lit(ranks.buckets - 1)).cast("int"))
-            return (high + d * step).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
 
-        return _let(_let(F.xxhash64(s), slot), lambda a: F.when(F.get(keys, a) == s, F.get(values, a)).otherwise(F.lit(NO_RANK)))
+def fold(ranks: RankMap, table: Column, word: Column) -> Column:
+    """The ids (array<int>) of one piece of 1 to FOLD_BYTES bytes, given as latin-1 characters; table is what with_map passes."""
+    keys, values, shift, pairs = table["keys"], table["ranks"], table["shift"], table["pairs"]
+
+    def rank(s: Column) -> Column:
+        h = F.xxhash64(s)
+        moved = F.get(shift, h.bitwiseAND(F.lit(ranks.buckets - 1)).cast("int"))
+        step = F.shiftrightunsigned(h, 41).bitwiseOR(F.lit(1))
+        slot = (F.shiftrightunsigned(h, 24) + moved * step).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
+        return _let(slot, lambda a: F.when(F.get(keys, a) == s, F.get(values, a)).otherwise(F.lit(NO_RANK)))
 
     none = F.array().cast("array<int>")
     rest = F.lit(1 << 20)
@@ -135,13 +150,12 @@ def fold_expressions(ranks: RankMap, word: Column) -> Column:
         return F.when(F.size(r) < 1, state).otherwise(_let(F.array_min(r), merge))
 
     def begin(c: Column) -> Column:
-        pairs = F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: rank(F.concat(x, F.get(c, i + 1))))
-        return F.struct(c.alias("p"), pairs.alias("r"))
+        first = F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: F.get(pairs, F.ascii(x) * 256 + F.ascii(F.get(c, i + 1))))
+        return F.struct(c.alias("p"), first.alias("r"))
 
     n = F.length(word)
     folded = F.aggregate(F.sequence(F.lit(2), n), _let(F.split(word, ""), begin), step, lambda s: F.transform(s["p"], rank))
-    ids = _let(rank(word), lambda r: F.when((r != NO_RANK) | (n < 2), F.array(r)).otherwise(folded))
-    return _let(ids, lambda x: F.struct(x.alias("ids"), F.encode(F.array_join(F.transform(x, lambda i: F.get(by_id, i)), ""), "ISO-8859-1").alias("bytes")))
+    return _let(rank(word), lambda r: F.when((r != NO_RANK) | (n < 2), F.array(r)).otherwise(folded))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -169,29 +183,44 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Dictionary:
+    """Pieces and their ids, in flat arrays."""
+
+    def __init__(self, words: list[str], ids: list[list[int]]):
+        self.words = pa.array(words, pa.string())
+        self.size = np.array([len(x) for x in ids], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.ids = np.array([i for x in ids for i in x], dtype="<u4")
+
+
 _PAGE = "words array<string>, long_at array<int>, long_words array<string>, ids binary, nulls binary, counts binary, numbers binary"
 
 
-def _latin(words: pa.Array) -> list[str]:
-    return [w if w.isascii() else w.encode().decode("latin-1") for w in words.to_pylist()]
+def _latin(words: list[str]) -> list[str]:
+    return [w if w.isascii() else w.encode().decode("latin-1") for w in words]
 
 
-def _pages(batches, page_chars: int):
-    """Arrow batches of (doc_id, pieces) to pages."""
+def _pages(batches, known, page_chars: int):
+    """Arrow batches of (doc_id, pieces, chars) to pages.  Piece numbers below the dictionary's size are its own."""
+    known_words = known.value
 
     def page(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         ids = pa.concat_arrays([b.column(0) for b in parts])
         lists = pa.concat_arrays([b.column(1) for b in parts])
         words = lists.flatten().dictionary_encode()
         counts = np.diff(lists.offsets.to_numpy())
-        names = _latin(words.dictionary)
-        numbers = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        found = pc.index_in(words.dictionary, value_set=known_words)
+        number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        new = np.flatnonzero(number < 0)
+        number[new] = len(known_words) + np.arange(len(new))
+        names = _latin(words.dictionary.take(pa.array(new)).to_pylist())
+        numbers = number[words.indices.to_numpy(zero_copy_only=False)] if len(words) else number[:0]
         long = [i for i, w in enumerate(names) if len(w) > FOLD_BYTES]
         far = set(long)
         row = {
             "words": [["" if i in far else w for i, w in enumerate(names)]], "long_at": [long], "long_words": [[names[i] for i in long]],
             "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], "nulls": [ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
-            "counts": [counts.astype("<i8").tobytes()], "numbers": [numbers.tobytes()],
+            "counts": [counts.astype("<i8").tobytes()], "numbers": [numbers.astype("<i4").tobytes()],
         }
         kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
@@ -201,8 +230,7 @@ def _pages(batches, page_chars: int):
         at = 0
         while at < b.num_rows:
             sizes = np.cumsum(b.column(2).to_numpy(zero_copy_only=False)[at:])
-            n = max(1, int(np.searchsorted(sizes, page_chars - chars, side="right")))
-            n = min(n, b.num_rows - at)
+            n = min(b.num_rows - at, max(1, int(np.searchsorted(sizes, page_chars - chars, side="right"))))
             held.append(b.slice(at, n))
             chars += int(sizes[n - 1])
             at += n
@@ -213,58 +241,97 @@ def _pages(batches, page_chars: int):
         yield page(held)
 
 
-def _documents(batches, ranks_of: dict[bytes, int] | None, raw: bool):
+class Decoder:
+    """Joins the binary pieces of ids."""
+
+    def __init__(self, by_id: list[bytes]):
+        self.size = np.array([len(x) for x in by_id], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return self.bytes[_ranges(self.first[ids], self.size[ids])].tobytes()
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0]+size[0]-1, first[1] .. and so on."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
+def _documents(batches, ranks_of: dict[bytes, int], known, decoder: Decoder, raw: bool):
     """Pages with the fold's results to rows of documents."""
-    kinds = [pa.int64(), pa.int64(), *([pa.list_(pa.int32()), pa.binary()] if raw else [pa.string(), pa.string()])]
+    kinds = [pa.int64(), *([pa.list_(pa.int32()), pa.binary()] if raw else [pa.string(), pa.string()])]
     names = ["doc_id", "n_tokens", *(["ids", "decoded"] if raw else ["ids_sha256", "decoded_sha256"])]
-    by_id = {v: k for k, v in ranks_of.items()}
+    d = known.value
     for b in batches:
         for row in range(b.num_rows):
             col = lambda c: b.column(b.schema.get_field_index(c))[row]
             codes = col("codes").values
-            lists, texts = codes.field(0), codes.field(1)
-            token_at = lists.offsets.to_numpy().astype(np.int64)
-            tokens = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            words = texts.to_pylist()
-            first, size = token_at[:-1].copy(), np.diff(token_at)
+            size, tokens = np.diff(codes.offsets.to_numpy()).astype(np.int64), codes.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            first = np.cumsum(size) - size
             for at, w in zip(col("long_at").as_py(), col("long_words").as_py()):
                 ids = np.array(merge_long(w.encode("latin-1"), ranks_of), dtype="<u4")
                 first[at], size[at], tokens = len(tokens), len(ids), np.concatenate([tokens, ids])
-                words[at] = b"".join(map(by_id.__getitem__, ids.tolist()))
-            words = np.array([*words, None], dtype=object)[:-1]
+            first, size, tokens = np.concatenate([d.first, first + len(d.ids)]), np.concatenate([d.size, size]), np.concatenate([d.ids, tokens])
             read = lambda c, kind: np.frombuffer(col(c).as_buffer(), dtype=kind)
             doc_ids, nulls, counts, numbers = read("ids", "<i8"), read("nulls", "?"), read("counts", "<i8"), read("numbers", "<i4")
             out, at = [], 0
             for n in counts.tolist():
                 which = numbers[at : at + n]
                 at += n
-                k = size[which]
-                ends = np.cumsum(k)
-                total = int(ends[-1]) if n else 0
-                ids = tokens[np.repeat(first[which] - ends + k, k) + np.arange(total)] if n else tokens[:0]
-                text = b"".join(words[which].tolist())
-                out.append((total, ids.tolist(), text) if raw else (total, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
-            columns = [pa.array(doc_ids, pa.int64(), mask=nulls), *(pa.array([o[i] for o in out], kinds[i + 1]) for i in range(3))]
+                ids = tokens[_ranges(first[which], size[which])]
+                text = decoder(ids)
+                out.append((len(ids), ids.tolist(), text) if raw else (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            columns = [pa.array(doc_ids, pa.int64(), mask=nulls), *(pa.array([o[i] for o in out], kinds[i]) for i in range(3))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _counts(batches):
+    for b in batches:
+        c = b.column(0).flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([c.field(0), c.field(1)], names=["word", "n"])
+
+
+def build_dictionary(pieces: DataFrame, table: RankMap, most: int = DICTIONARY) -> Dictionary:
+    """The commonest pieces (of two occurrences or more) with their ids: at most ``most`` of them, by a count that splits no tie."""
+    counts = stored(pieces.select("pieces").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= 2 AND octet_length(word) <= {FOLD_BYTES}"))
+    least, total = None, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.n
+    if least is None:
+        return Dictionary([], [])
+    word = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
+    rows = counts.where(F.col("n") >= least).select("word", with_map(table, lambda t: fold(table, t, word)).alias("ids")).toArrow()
+    return Dictionary(rows.column("word").to_pylist(), rows.column("ids").to_pylist())
+
+
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool = False, page_chars: int = PAGE_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with raw=True (doc_id, n_tokens, ids, decoded)."""
     ranks = load_ranks(rank_file)
     table = RankMap(ranks)
+    decoder = Decoder(table.by_id)
     text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("chars"))
-    pages = pieces.mapInArrow(lambda it: _pages(it, page_chars), _PAGE)
-    nothing = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("bytes"))
-    codes = F.transform("words", lambda w: F.when(F.length(w) > 0, fold_expressions(table, w)).otherwise(nothing))
+    cut = lambda df: df.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("chars"))
+    part = max(1, -(-docs.count() // SAMPLE_DOCS))
+    known = build_dictionary(cut(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)), table)
+    sc = docs.sparkSession.sparkContext
+    known_words = sc.broadcast(known.words)
+    known.words = None  # the last step needs the ids alone
+    known_ids = sc.broadcast(known)
+    pages = cut(docs).mapInArrow(lambda it: _pages(it, known_words, page_chars), _PAGE)
+    codes = with_map(table, lambda t: F.transform("words", lambda w: F.when(F.length(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
     coded = pages.select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers")
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded binary" if raw else "ids_sha256 string, decoded_sha256 string")
-    return coded.mapInArrow(lambda it: _documents(it, ranks, raw), schema)
+    return coded.mapInArrow(lambda it: _documents(it, ranks, known_ids, decoder, raw), schema)
 
 
 def decode_ids(tokens: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded binary: the pieces of the ids joined, natively.  Null ids give null."""
-    by_id = RankMap(load_ranks(rank_file)).literals()[3]
+    by_id = _literal([t.decode("latin-1") for t in RankMap(load_ranks(rank_file)).by_id], "array<string>")
     return tokens.withColumn("decoded", F.encode(F.array_join(F.transform(ids_col, lambda i: F.get(by_id, i)), ""), "ISO-8859-1"))
 
 
