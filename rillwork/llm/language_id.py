@@ -118,13 +118,15 @@ class Model:
         self.langs = list(samples)
         self.alphabet = np.unique(np.concatenate([*samples.values(), np.array([32], dtype=np.uint32)]))
         self.letters = len(self.alphabet) + 1  # the last stands for letters that no sample holds
-        # A walk that can't go on counts a phrase and starts again from the root with the same letter, so each cell
-        # holds the next state, and its lowest bit tells whether a phrase ended.
+        # A walk that can't go on ends a phrase and starts again from the root with the same letter; a letter that the root
+        # lacks is a phrase by itself.  Each cell holds the next state and, in its two lowest bits, the phrases that ended.
         self.walks = []
         for codes in samples.values():
             table = suffix_automaton(np.searchsorted(self.alphabet, codes).tolist(), self.letters)
-            again = np.where(table[0] >= 0, table[0], 0)
-            walk = np.where(table >= 0, table * 2, again[None, :] * 2 + 1).astype(np.int32)
+            lacks = table[0] < 0
+            stuck = np.where(lacks, 2, table[0] * 4 + 1)
+            walk = np.where(table >= 0, table * 4, stuck[None, :]).astype(np.int32)
+            walk[0, lacks] = 1
             self.walks.append(walk.reshape(-1))
 
     def _index(self) -> np.ndarray:
@@ -160,9 +162,9 @@ class Model:
             phrases = np.zeros(len(first), dtype=np.int32)
             for place, n in enumerate(alive.tolist()):
                 s = walk[state[:n] * self.letters + flat[first[:n] + place]]
-                phrases[:n] += s & 1
-                state[:n] = s >> 1
-            counts[:, k] = np.bincount(owner, weights=phrases + 1, minlength=len(docs))
+                phrases[:n] += s & 3
+                state[:n] = s >> 2
+            counts[:, k] = np.bincount(owner, weights=phrases + (state > 0), minlength=len(docs))
         return counts / np.maximum(size, 1)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
