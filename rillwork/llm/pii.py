@@ -96,7 +96,14 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+#: Digits in the groups of card numbers that are written in groups.
+_CARD_GROUPS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 5))
+
+
 def _card(m: re.Match, key: bytes, back: bool) -> str | None:
+    groups = tuple(map(len, re.split("[ -]", m[0])))
+    if len(groups) > 1 and groups not in _CARD_GROUPS:
+        return None
     d = re.sub("[^0-9]", "", m[0])
     if not 13 <= len(d) <= 19 or d[0] not in "23456" or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
