@@ -100,6 +100,15 @@ def test_repeats_nulls_and_empty(spark, docs):
     assert J.join(docs(["x"]).where("false")).collect() == []
 
 
+def test_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert sorted(map(tuple, J.query(spark, d).collect())) == sorted(c.sql(J.SQL).fetchall())
+
+
 def test_keep_one(spark, docs):
     rows = list(enumerate(corpus(3, 200)))
     df = docs([*rows, rows[50], rows[51]], extra=True)
