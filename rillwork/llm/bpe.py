@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import stored
+from rillwork.llm.common import bounded_batches, stored
 
 #: White space by the Unicode property; Java's \s has only ASCII.
 _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -237,6 +237,7 @@ def _pages(batches, known, page_chars: int):
             if chars >= page_chars or at < b.num_rows:
                 yield page(held)
                 held, chars = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield page(held)
 
@@ -311,6 +312,7 @@ def build_dictionary(pieces: DataFrame, table: RankMap, most: int = DICTIONARY)
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool = False, page_chars: int = PAGE_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with raw=True (doc_id, n_tokens, ids, decoded)."""
+    docs = bounded_batches(docs)
     ranks = load_ranks(rank_file)
     table = RankMap(ranks)
     decoder = Decoder(table.by_id)

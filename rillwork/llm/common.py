@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch.  Texts have no bound, so Spark's usual 10,000 rows may be far more than a worker should hold at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keeps the Arrow batches of the session small, unless they are set to something else than Spark's default; returns df."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where it is unset (as in tests) a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import bounded_batches
+
 PASSAGE = 64
 HALF = PASSAGE // 2
 THRESHOLD = 0.5
@@ -222,7 +224,7 @@ def _parts(texts: pa.Array, chars: int = 4 << 20):
 
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_share, answer_share): every verified hit of every row."""
-    found = None
+    found, docs = None, bounded_batches(docs)
     schema = "doc_id long, item_id long, score double, question_share double, answer_share double"
     for index in _shards(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -242,7 +244,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows without a verified hit, all columns kept; one narrow pass a shard of the index."""
-    n_text = docs.columns.index("text")
+    n_text = bounded_batches(docs).columns.index("text")
     for index in _shards(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

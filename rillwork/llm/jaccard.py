@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import components, stored
+from rillwork.llm.common import bounded_batches, components, stored
 
 WORDS = 5
 #: Percent.
@@ -471,7 +471,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, bits: int, words: int = WORDS, named: bool = False) -> DataFrame:
     """Rows of documents (kind DOC: doc_id, n, class, and with named the row_key as blob) and the sets of the classes that may link
     (kind SET), stored once."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     texts = _named(texts).withColumn("row_key", F.unhex("row_key")) if named else texts.withColumn("row_key", F.lit(None).cast("binary"))
     rows = texts.mapInArrow(lambda it: _split(it, words, bits), _ROW)
     shared = rows.groupBy("bucket").applyInArrow(lambda t: _share(t, bits), _ROW)

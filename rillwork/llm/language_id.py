@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import bounded_batches
+
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
 #: At most so many characters of one document, so that one text doesn't fill the sample.
@@ -224,7 +226,7 @@ def held_out(doc_id=None):
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the columns in keep, lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
     frame = docs.select("doc_id", "text", *(keep or []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "text")
     return frame.mapInArrow(lambda it: _predict(it, shared), f"{fields}, lang_pred string, score double")
@@ -232,7 +234,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language can be told, all columns kept; a null lang is filled in."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
     n_text, n_lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):

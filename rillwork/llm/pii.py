@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwork.llm.common import bounded_batches
+
 DEFAULT_KEY = b"pseudonym key: replace in production"
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "phone", "ssn", "ip", "date")
@@ -229,7 +231,7 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY, *, back: bool = False) ->
 
 def transform(docs: DataFrame, key: bytes = DEFAULT_KEY, counts: bool = True) -> DataFrame:
     """All columns with text replaced; with counts, also n_replaced and pii_kinds (kind to number)."""
-    n_text = docs.columns.index("text")
+    n_text = bounded_batches(docs).columns.index("text")
 
     def run(batches):
         for b in batches:

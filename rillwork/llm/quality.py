@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import bounded_batches
+
 SAMPLE_ROWS = 4_000
 PAIRS = 60_000
 RIDGE = 1e-3
@@ -135,7 +137,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             s = model.score(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[b.schema.names[0], *b.schema.names[2:], "score", "predicted"])
 
-    frame = docs.select("doc_id", "text", *(keep or []))
+    frame = bounded_batches(docs).select("doc_id", "text", *(keep or []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "text")
     return frame.mapInArrow(run, f"{fields}, score double, predicted int")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import stored
+from rillwork.llm.common import bounded_batches, stored
 
 LENGTH = 400
 GRAM = 32
@@ -332,7 +332,7 @@ def _matches(table: pa.Table, length: int, keep_first: bool) -> pa.Table:
 
 def matched_places(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """(text_key, first, stop): runs of places whose next length bytes occur elsewhere in a different text, or elsewhere in the same."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     texts = docs.where(F.octet_length("text") >= length).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
     keys = texts.mapInArrow(lambda it: _keys(it, length), "key long, owner long, twice boolean")
     shared = stored(keys.groupBy("key").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t")).where("a <> b or t").select("key"))
