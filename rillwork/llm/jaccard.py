@@ -10,7 +10,8 @@ A document's set holds its distinct five-word shingles (64-bit hashes).  Documen
    skipped, and blocks of incompatible sizes are skipped at once.  Compatible neighbours are joined to clusters,
    inside each task first, so that what is shuffled of a list is one interval a task.
 4. Verification.  Within a cluster a set's overlaps with all others are derived from those of the most similar set done before,
-   by walking the lists of the differing tokens only.  Clusters of more than ``BLOCK`` classes are verified in pairs of blocks.
+   by walking the lists of the differing tokens only.  Clusters of more than ``BLOCK`` classes are verified in blocks, then by classes that
+   stand for the components found so far, and in pairs of blocks only where several components are left.
 5. Verified links are joined to components by star contraction.
 
 Every pair of texts at or above the threshold ends in one component; no list, cluster or class is capped.
@@ -41,8 +42,10 @@ THRESHOLD = 75
 #: Classes verified together.
 BLOCK = 512
 #: A token in so many classes of one batch is sent as a mark.
-HOT = 48
-BATCH_CHARS = 8 << 20
+HOT = 24
+BATCH_CHARS = 4 << 20
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
 #: Documents a bucket, about; the number of buckets is a power of two that grows with the input.
 PER_BUCKET = 4096
 _LEAST_BITS, _MOST_BITS = 6, 14
@@ -86,14 +89,24 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     """The sorted distinct shingle hashes of each text."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    white = _WHITE[data]
-    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-    first = np.append(np.zeros(0 if white[0] else 1, dtype=np.int64), edge)
-    start, stop = first[0::2], first[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    word = _mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    starts, hashes, at = [], [], 0
+    while at < len(data):  # in pieces that end at white space: what is held at eight bytes a byte of text stays small
+        end = min(len(data), at + PIECE)
+        while end < len(data) and not _WHITE[data[end - 1]]:
+            rest = np.flatnonzero(_WHITE[data[end : end + PIECE]])
+            end = end + int(rest[0]) + 1 if len(rest) else min(len(data), end + PIECE)
+        own = data[at:end]
+        white = _WHITE[own]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        first = edge if white[0] else np.append(0, edge)
+        start, stop = first[0::2], first[1::2]
+        power, inverse = _power_tables(len(own) + 1)
+        total = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[own] * power[: len(own)], out=total[1:])
+        hashes.append(_mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        starts.append(start + at)
+        at = end
+    word, start = np.concatenate(hashes), np.concatenate(starts)
     edges = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raw)]))
     count = np.diff(edges)
     n = len(word)
@@ -482,18 +495,49 @@ def link_classes(rows: DataFrame, bits: int) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     sets = rows.where(F.col("kind") == SET).select("n", "class", "blob")
     postings = sets.mapInArrow(lambda it: _postings(it, 1 << bits), "bucket int, kind int, blob binary")
-    cluster = components(postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long"))
-    cluster = stored(cluster)
-    size = cluster.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("component", "blocks")
-    member = sets.join(cluster.select(F.col("node").alias("class"), "component"), "class").join(size, "component")
-    # A cluster of one block is verified at once; of several, every pair of blocks is verified.
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    member = member.withColumn("block", block)
-    part = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0))), lambda j: F.when(j + (j >= F.col("block")).cast("int") < F.col("block"), F.concat_ws("-", j, "block")).otherwise(F.concat_ws("-", "block", j + (j >= F.col("block")).cast("int"))))
-    member = member.withColumn("part", F.explode(F.when(F.col("blocks") > 1, part).otherwise(F.array(F.lit("")))))
-    member = member.select("n", "class", "blob", F.col("component").alias("cluster"), F.xxhash64("part").alias("part"))
-    links = member.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 << bits)).cast("int")).groupBy("bin").applyInArrow(_verify, "a long, b long")
-    return components(links)
+    cluster = stored(components(postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long")))
+    size = cluster.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select(F.col("component").alias("cluster"), "blocks")
+    of_class = cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    member = of_class.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+
+    def verified(units: DataFrame) -> DataFrame:
+        """Links among the classes of each (cluster, part): a row of units is a class and a part that it is verified in."""
+        work = sets.join(units, "class").select("n", "class", "blob", "cluster", F.xxhash64("part").alias("part"))
+        return work.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 << bits)).cast("int")).groupBy("bin").applyInArrow(_verify, "a long, b long")
+
+    links = stored(verified(member.select("class", "cluster", F.col("block").alias("part"))))
+    found = components(links)
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return found
+
+    # Clusters of several blocks.  First one class of each component so far stands for it: these are verified in units of a block, again and
+    # again, so that a group of near copies of any size comes together in a few rounds.
+    def labelled() -> DataFrame:
+        own = found.select(F.col("node").alias("class"), "component")
+        return stored(large.join(own, "class", "left").withColumn("component", F.coalesce("component", "class")))
+
+    now = labelled()
+    parts = now.select("component").distinct().count()
+    while True:
+        stand = now.groupBy("cluster", "component").agg(F.min("class").alias("class"))
+        units = stand.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("units"), F.count(F.lit(1)).alias("left")).where("left > 1")
+        unit = stand.join(units, "cluster").select("class", "cluster", F.concat(F.lit("u"), F.pmod(F.xxhash64("class"), F.col("units"))).alias("part"))
+        links = stored(links.union(verified(unit)))
+        found = components(links)
+        now = labelled()
+        before, parts = parts, now.select("component").distinct().count()
+        if parts == before:
+            break
+    # Then, where a cluster still has several components, every pair of its blocks.
+    apart = now.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cluster")
+    rest = now.join(apart, "cluster", "left_semi")
+    if rest.isEmpty():
+        return found
+    j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("j")
+    other = F.col("j") + (F.col("j") >= F.col("block")).cast("int")
+    pair = rest.select("class", "cluster", "block", j).select("class", "cluster", F.concat_ws("-", F.least("block", other), F.greatest("block", other)).alias("part"))
+    return components(links.union(verified(pair)))
 
 
 def _joined(docs: DataFrame, words: int, named: bool) -> DataFrame:

@@ -76,6 +76,7 @@ def test_small_batches_hot_tokens_and_blocks(spark, docs, monkeypatch):
     rows += [(1000 + i, " ".join(base[:25] + [f"u{i}_{k}" for k in range(40)])) for i in range(120)]
     want = brute(rows)
     monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "BLOCK", 16)
     sets = J.shingle_sets([t for _, t in rows])
     assert [len(s) for s in sets] == [len(s) for s in sets_of([t for _, t in rows])]
     assert sorted(map(tuple, J.join(docs(rows).repartition(6)).collect())) == want
@@ -92,6 +93,21 @@ def test_small_batches_hot_tokens_and_blocks(spark, docs, monkeypatch):
     assert sorted((d, len(sets[i]), min(low[union.find(i)])) for i, (d, _) in enumerate(rows)) == want
 
 
+def test_large_clusters_that_stay_apart(spark, docs, monkeypatch):
+    """Chains of near copies: linked neighbours, far ends that aren't, over many blocks."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rows = []
+    for c in range(3):
+        w = [f"c{c}w{i}" for i in range(60)]
+        for i in range(60):
+            rows.append((c * 100 + i, " ".join(w)))
+            w[(i * 7) % 60] = f"new{c}_{i}" if i % 20 else w[(i * 7) % 60]
+            if i % 20 == 19:
+                for k in range(12):
+                    w[(i + 5 * k) % 60] = f"far{c}_{i}_{k}"
+    assert sorted(map(tuple, J.join(docs(rows)).collect())) == brute(rows)
+
+
 def test_repeats_nulls_and_empty(spark, docs):
     text = "one two three four five six seven"
     rows = [(5, text), (5, text), (None, text), (None, None), (2, ""), (3, ""), (9, text.upper())]
@@ -134,3 +150,11 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in {x for a, b in edges if a != b for x in (a, b)}}
+
+
+def test_hashing_in_pieces(monkeypatch):
+    texts = [*corpus(7, 60), "y" * 500, " " * 300, "é " * 200]
+    whole = J.shingle_sets(texts)
+    monkeypatch.setattr(J, "PIECE", 37)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, J.shingle_sets(texts), strict=True))
+    assert [len(s) for s in whole] == [len(s) for s in sets_of(texts)]
