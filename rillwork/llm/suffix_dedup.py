@@ -59,21 +59,23 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return _mix(h * _MUL)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(key, first place, places) of each run of places with one anchor; the runs cover 0 .. len - length."""
-    last = len(data) - length
-    if last < 0:
-        return []
-    h, w, out, s = gram_hashes(data, gram), length - gram + 1, [], 0
-    while s <= last:
-        i = s + int(h[s : s + w].argmin())
-        v = h[i]
-        stop = min(i, last)
-        smaller = h[s + w : stop + w] < v
-        t = int(smaller.argmax()) if len(smaller) else 0
-        end = s + 1 + t if len(smaller) and smaller[t] else stop + 1
-        out.append((int(v), s, end - s))
-        s = end
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = 1 << 18) -> list[tuple[int, int, int]]:
+    """(key, first place, places) of each run of places with one anchor; the runs cover 0 .. len - length.
+
+    Texts are read in pieces, so that what is held at eight bytes a byte stays small; a run may be cut at a piece's edge."""
+    out, w = [], length - gram + 1
+    for begin in range(0, len(data) - length + 1, piece):
+        h = gram_hashes(data[begin : begin + piece + length - 1], gram)
+        last, s = min(piece, len(data) - length + 1 - begin) - 1, 0
+        while s <= last:
+            i = s + int(h[s : s + w].argmin())
+            v = h[i]
+            stop = min(i, last)
+            smaller = h[s + w : stop + w] < v
+            t = int(smaller.argmax()) if len(smaller) else 0
+            end = s + 1 + t if len(smaller) and smaller[t] else stop + 1
+            out.append((int(v), begin + s, end - s))
+            s = end
     return out
 
 
