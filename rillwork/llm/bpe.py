@@ -251,7 +251,8 @@ class Decoder:
         self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        return self.bytes[_ranges(self.first[ids], self.size[ids])].tobytes()
+        parts = (ids[i : i + (1 << 16)] for i in range(0, len(ids), 1 << 16))  # a long text bit by bit
+        return b"".join(self.bytes[_ranges(self.first[p], self.size[p])].tobytes() for p in parts)
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:

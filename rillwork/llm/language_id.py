@@ -201,7 +201,7 @@ def fit(labelled: DataFrame) -> Model:
     return Model({lang: sorted(own) for lang, own in texts.items()})
 
 
-def _slices(batch: pa.RecordBatch, n_text: int, chars: int = 8 << 20):
+def _slices(batch: pa.RecordBatch, n_text: int, chars: int = 2 << 20):
     """Parts of a batch of bounded text, so that memory follows characters and not rows."""
     sizes = np.cumsum([0, *(len(t.as_py() or "") for t in batch.column(n_text))])
     a = 0
