@@ -3,9 +3,9 @@
 How it works
     1. The JVM cuts every text into pieces with the tokenizer's pattern.
     2. The commonest pieces of a bounded sample of documents are folded once and broadcast as a dictionary of at most
-       ``DICTIONARY`` pieces.  It is a cache: it changes how often a piece is folded, and no result.
+       ``DICTIONARY`` pieces, beside the tokens that are whole pieces.  It is a cache: it changes how often a piece is folded, and no result.
     3. Each task packs its rows into *pages*: the distinct pieces of the page that the dictionary lacks, and for every document the
-       sequence of piece numbers.  A piece is held as a byte array, one latin-1 character a byte.
+       sequence of piece numbers.  A piece is held as the array of its bytes.
     4. A higher-order fold merges the adjacent pair of lowest rank of every distinct piece until no pair has a rank.  Ranks come
        from a literal rank map.
     5. The page is unpacked: a document's ids are gathered by piece number, and its text is decoded by joining the binary
@@ -69,37 +69,48 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+#: Bits of an id.
+_ID = 20
+
+
 class RankMap:
-    """A literal map from byte strings to ranks.
+    """A literal map from pairs of adjacent ids to the rank (which is the id) of what they merge to.
 
-    A map literal is searched from its start, so the map is laid out as a perfect hash: each bucket of keys has a displacement that
-    sends its keys to free slots of one flat table, and a lookup reads one slot.  Flat arrays also keep the plan quick to send."""
+    A map literal is searched from its start, so the map is laid out as a perfect hash: each bucket of pairs has a displacement that
+    sends its pairs to free slots of one flat table, and a lookup reads one slot.  Flat arrays also keep the plan quick to send."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.slots = 1 << max(4, (len(ranks) * 5 // 4).bit_length())
-        self.buckets = max(1, self.slots // 8)
-        by_bucket: dict[int, list[tuple[int, str, int]]] = {}
+        merges = {}
         for token, rank in ranks.items():
-            s = token.decode("latin-1")
-            h = xxhash.xxh64_intdigest(s.encode(), seed=42)
-            by_bucket.setdefault(h & (self.buckets - 1), []).append((h >> 24, s, rank))
-        self.keys, self.ranks, self.shift = [""] * self.slots, [NO_RANK] * self.slots, [0] * self.buckets
-        taken, mask = bytearray(self.slots), self.slots - 1
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    merges[a << _ID | b] = rank
+        self.slots = 1 << max(4, (len(merges) * 5 // 4).bit_length())
+        self.buckets = max(1, self.slots // 8)
+        by_bucket: dict[int, list[tuple[int, int, int]]] = {}
+        for pair, rank in merges.items():
+            h = xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), seed=42)
+            by_bucket.setdefault(h & (self.buckets - 1), []).append((h >> 24, pair, rank))
+        #: pair << _ID | rank; -1 where a slot is free
+        self.table, self.shift, mask = [-1] * self.slots, [0] * self.buckets, self.slots - 1
         for bucket, items in sorted(by_bucket.items(), key=lambda kv: -len(kv[1])):
             d = 0
             while True:
                 at = {(h + d * ((h >> 17) | 1)) & mask for h, _, _ in items}
-                if len(at) == len(items) and not any(taken[a] for a in at):
+                if len(at) == len(items) and all(self.table[a] < 0 for a in at):
                     break
                 d += 1
             self.shift[bucket] = d
-            for h, s, rank in items:
-                a = (h + d * ((h >> 17) | 1)) & mask
-                taken[a], self.keys[a], self.ranks[a] = 1, s, rank
+            for h, pair, rank in items:
+                self.table[(h + d * ((h >> 17) | 1)) & mask] = pair << _ID | rank
+        self.bytes = [ranks[bytes((b,))] for b in range(256)]
         self.pairs = [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
         self.by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.by_id[rank] = token
+        if len(self.by_id) > 1 << _ID:
+            raise ValueError(f"ids must be below {1 << _ID}")
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -114,48 +125,45 @@ def _let(value: Column, use) -> Column:
 
 def with_map(ranks: RankMap, use) -> Column:
     """use(map), with the literal rank map in the plan once, however often it is read."""
-    parts = {"keys": "array<string>", "ranks": "array<int>", "shift": "array<int>", "pairs": "array<int>"}
+    parts = {"table": "array<bigint>", "shift": "array<int>", "pairs": "array<bigint>", "bytes": "array<bigint>"}
     return _let(F.struct(*(_literal(getattr(ranks, k), kind).alias(k) for k, kind in parts.items())), use)
 
 
-def fold(ranks: RankMap, table: Column, word: Column) -> Column:
-    """The ids (array<int>) of one piece of 1 to FOLD_BYTES bytes, given as latin-1 characters; table is what with_map passes."""
-    keys, values, shift, pairs = table["keys"], table["ranks"], table["shift"], table["pairs"]
+def fold(ranks: RankMap, table: Column, codes: Column) -> Column:
+    """The ids (array<int>) of one piece, given as the array of its bytes (0 to 255); table is what with_map passes.
+
+    The state is the ids so far and the rank of each adjacent pair, both with a guard at either end that merges with nothing.  A step
+    merges the pair of lowest rank, the leftmost of equals, and looks up the two pairs that this makes."""
+    long = lambda n: F.lit(n).cast("bigint")
+    rest = F.lit(1 << 20)
 
-    def rank(s: Column) -> Column:
-        h = F.xxhash64(s)
-        moved = F.get(shift, h.bitwiseAND(F.lit(ranks.buckets - 1)).cast("int"))
+    def rank(a: Column, b: Column) -> Column:
+        pair = a * (1 << _ID) + b
+        h = F.xxhash64(pair)
         step = F.shiftrightunsigned(h, 41).bitwiseOR(F.lit(1))
+        moved = F.get(table["shift"], h.bitwiseAND(F.lit(ranks.buckets - 1)).cast("int"))
         slot = (F.shiftrightunsigned(h, 24) + moved * step).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
-        return _let(slot, lambda a: F.when(F.get(keys, a) == s, F.get(values, a)).otherwise(F.lit(NO_RANK)))
-
-    none = F.array().cast("array<int>")
-    rest = F.lit(1 << 20)
+        return _let(F.get(table["table"], slot), lambda x: F.when(F.shiftright(x, _ID) == pair, x.bitwiseAND(F.lit((1 << _ID) - 1))).otherwise(long(NO_RANK)))
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        t, r = state["t"], state["r"]
 
         def merge(best: Column) -> Column:
             def put(j: Column) -> Column:
-                token = F.concat(F.get(p, j - 1), F.get(p, j))
-                left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), token)))).otherwise(none)
-                right = F.when(j < F.size(r), F.array(rank(F.concat(token, F.get(p, j + 1))))).otherwise(none)
                 return F.struct(
-                    F.concat(F.slice(p, F.lit(1), j - 1), F.array(token), F.slice(p, j + 2, rest)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, rest)).alias("r"),
+                    F.concat(F.slice(t, F.lit(1), j - 1), F.array(best), F.slice(t, j + 2, rest)).alias("t"),
+                    F.concat(F.slice(r, F.lit(1), j - 2), F.array(rank(F.get(t, j - 2), best), rank(best, F.get(t, j + 1))), F.slice(r, j + 2, rest)).alias("r"),
                 )
 
             return F.when(best == NO_RANK, state).otherwise(_let(F.array_position(r, best).cast("int"), put))
 
-        return F.when(F.size(r) < 1, state).otherwise(_let(F.array_min(r), merge))
-
-    def begin(c: Column) -> Column:
-        first = F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: F.get(pairs, F.ascii(x) * 256 + F.ascii(F.get(c, i + 1))))
-        return F.struct(c.alias("p"), first.alias("r"))
+        return _let(F.array_min(r), merge)
 
-    n = F.length(word)
-    folded = F.aggregate(F.sequence(F.lit(2), n), _let(F.split(word, ""), begin), step, lambda s: F.transform(s["p"], rank))
-    return _let(rank(word), lambda r: F.when((r != NO_RANK) | (n < 2), F.array(r)).otherwise(folded))
+    guard, none = F.array(long(-1)), F.array(long(NO_RANK))
+    first = F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), lambda x, i: F.get(table["pairs"], x * 256 + F.get(codes, i + 1)))
+    begin = F.struct(F.concat(guard, F.transform(codes, lambda x: F.get(table["bytes"], x)), guard).alias("t"), F.concat(none, first, none).alias("r"))
+    steps = F.sequence(F.lit(2), F.greatest(F.size(codes), F.lit(2)))
+    return F.aggregate(steps, begin, step, lambda s: F.slice(s["t"], F.lit(2), F.size(s["t"]) - 2)).cast("array<int>")
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -193,11 +201,7 @@ class Dictionary:
         self.ids = np.array([i for x in ids for i in x], dtype="<u4")
 
 
-_PAGE = "words array<string>, long_at array<int>, long_words array<string>, ids binary, nulls binary, counts binary, numbers binary"
-
-
-def _latin(words: list[str]) -> list[str]:
-    return [w if w.isascii() else w.encode().decode("latin-1") for w in words]
+_PAGE = "words array<array<int>>, long_at array<int>, long_words array<binary>, ids binary, nulls binary, counts binary, numbers binary"
 
 
 def _pages(batches, known, page_chars: int):
@@ -213,17 +217,18 @@ def _pages(batches, known, page_chars: int):
         number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
         new = np.flatnonzero(number < 0)
         number[new] = len(known_words) + np.arange(len(new))
-        names = _latin(words.dictionary.take(pa.array(new)).to_pylist())
+        names = words.dictionary.take(pa.array(new)).cast(pa.binary()).to_pylist()
         numbers = number[words.indices.to_numpy(zero_copy_only=False)] if len(words) else number[:0]
         long = [i for i, w in enumerate(names) if len(w) > FOLD_BYTES]
-        far = set(long)
+        short = [w if len(w) <= FOLD_BYTES else b"" for w in names]
+        codes = pa.ListArray.from_arrays(np.cumsum([0, *map(len, short)]).astype(np.int32), pa.array(np.frombuffer(b"".join(short), dtype=np.uint8).astype(np.int32)))
         row = {
-            "words": [["" if i in far else w for i, w in enumerate(names)]], "long_at": [long], "long_words": [[names[i] for i in long]],
+            "words": pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), codes), "long_at": [long], "long_words": [[names[i] for i in long]],
             "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], "nulls": [ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
             "counts": [counts.astype("<i8").tobytes()], "numbers": [numbers.astype("<i4").tobytes()],
         }
-        kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
+        kinds = [None, pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
     held, chars = [], 0
     for b in batches:
@@ -273,7 +278,7 @@ def _documents(batches, ranks_of: dict[bytes, int], known, decoder: Decoder, raw
             size, tokens = np.diff(codes.offsets.to_numpy()).astype(np.int64), codes.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             first = np.cumsum(size) - size
             for at, w in zip(col("long_at").as_py(), col("long_words").as_py()):
-                ids = np.array(merge_long(w.encode("latin-1"), ranks_of), dtype="<u4")
+                ids = np.array(merge_long(w, ranks_of), dtype="<u4")
                 first[at], size[at], tokens = len(tokens), len(ids), np.concatenate([tokens, ids])
             first, size, tokens = np.concatenate([d.first, first + len(d.ids)]), np.concatenate([d.size, size]), np.concatenate([d.ids, tokens])
             read = lambda c, kind: np.frombuffer(col(c).as_buffer(), dtype=kind)
@@ -295,8 +300,15 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([c.field(0), c.field(1)], names=["word", "n"])
 
 
-def build_dictionary(pieces: DataFrame, table: RankMap, most: int = DICTIONARY) -> Dictionary:
-    """The commonest pieces (of two occurrences or more) with their ids: at most ``most`` of them, by a count that splits no tie."""
+def build_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: RankMap, most: int = DICTIONARY) -> Dictionary:
+    """All pieces that are tokens themselves, and the commonest others of the sample (of two occurrences or more) with their ids: at most
+    ``most`` of these, by a count that splits no tie."""
+    tokens = {}
+    for token, rank in ranks.items():
+        try:
+            tokens[token.decode()] = [rank]
+        except UnicodeDecodeError:  # part of a character: never a whole piece
+            continue
     counts = stored(pieces.select("pieces").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= 2 AND octet_length(word) <= {FOLD_BYTES}"))
     least, total = None, 0
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
@@ -304,11 +316,12 @@ def build_dictionary(pieces: DataFrame, table: RankMap, most: int = DICTIONARY)
         if total > most:
             break
         least = r.n
-    if least is None:
-        return Dictionary([], [])
-    word = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
-    rows = counts.where(F.col("n") >= least).select("word", with_map(table, lambda t: fold(table, t, word)).alias("ids")).toArrow()
-    return Dictionary(rows.column("word").to_pylist(), rows.column("ids").to_pylist())
+    found = dict(tokens)
+    if least is not None:
+        codes = F.transform(F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), ""), F.ascii)
+        rows = counts.where(F.col("n") >= least).select("word", with_map(table, lambda t: fold(table, t, codes)).alias("ids")).toArrow()
+        found = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())) | tokens
+    return Dictionary(list(found), list(found.values()))
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool = False, page_chars: int = PAGE_CHARS) -> DataFrame:
@@ -320,13 +333,13 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool =
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = lambda df: df.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("chars"))
     part = max(1, -(-docs.count() // SAMPLE_DOCS))
-    known = build_dictionary(cut(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)), table)
+    known = build_dictionary(cut(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)), ranks, table)
     sc = docs.sparkSession.sparkContext
     known_words = sc.broadcast(known.words)
     known.words = None  # the last step needs the ids alone
     known_ids = sc.broadcast(known)
     pages = cut(docs).mapInArrow(lambda it: _pages(it, known_words, page_chars), _PAGE)
-    codes = with_map(table, lambda t: F.transform("words", lambda w: F.when(F.length(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
+    codes = with_map(table, lambda t: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
     coded = pages.select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers")
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded binary" if raw else "ids_sha256 string, decoded_sha256 string")
     return coded.mapInArrow(lambda it: _documents(it, ranks, known_ids, decoder, raw), schema)
