@@ -47,7 +47,7 @@ BATCH_CHARS = 4 << 20
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
 #: Documents a bucket, about; the number of buckets is a power of two that grows with the input.
-PER_BUCKET = 4096
+PER_BUCKET = 2048
 _LEAST_BITS, _MOST_BITS = 6, 14
 #: A token is the top 54 bits of its hash, the bucket's bits first; a key has the frequency (8 bits) above it.
 _TOKEN_BITS = 54
@@ -153,13 +153,14 @@ def _pack(classes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> bytes:
     return len(edge).to_bytes(4, "little") + head.tobytes() + low.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The runs' heads, and the tokens in their order."""
     k = int.from_bytes(blob[:4], "little")
     head = np.frombuffer(blob, dtype=_GROUP, count=k, offset=4)
     low = np.frombuffer(blob, dtype=np.uint8, offset=4 + k * _GROUP.itemsize).reshape(-1, 6)
     tokens = np.zeros((len(low), 8), dtype=np.uint8)
     tokens[:, :6] = low
-    return np.repeat(head["class"], head["count"]), np.repeat(head["n"], head["count"]), tokens.view("<u8").reshape(-1)
+    return head, tokens.view("<u8").reshape(-1)
 
 
 def _bucket_low(token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,16 +256,20 @@ def _share(table: pa.Table, bits: int) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         marked = [np.frombuffer(x, dtype="<u8") for x in _by_kind(table, MARKS).column("blob").to_pylist()]
         marks = np.unique(np.concatenate(marked)) if marked else np.zeros(0, dtype=np.uint64)
-        classes, sizes, token = (np.concatenate(x) for x in zip(*parts))
+        heads, token = np.concatenate([h for h, _ in parts]), np.concatenate([t for _, t in parts])
+        del parts
+        run_of = np.repeat(np.arange(len(heads), dtype=np.int32), heads["count"])
         order = np.argsort(token, kind="stable")
-        classes, sizes, token = classes[order], sizes[order], token[order]
+        run_of, token = run_of[order], token[order]
+        del order
         edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         run = np.diff(np.append(edge, len(token)))
         several = run >= 2
         if len(marks):
             several |= np.isin(token[edge], marks)
         keep = np.repeat(several, run)
-        classes, sizes, token = classes[keep], sizes[keep], token[keep]
+        run_of, token = run_of[keep], token[keep]
+        classes, sizes = heads["class"][run_of], heads["n"][run_of]
         order = np.lexsort((classes, token))  # now few: order by class too, to drop the copies from other batches
         classes, sizes, token = classes[order], sizes[order], token[order]
         new = np.append(True, (token[1:] != token[:-1]) | (classes[1:] != classes[:-1]))[: len(token)]
