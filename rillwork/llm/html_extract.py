@@ -37,6 +37,8 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _NAME = re.compile(r"[a-z]+|[0-9]+")
+#: Names that say what a page has beside an element ("has-sidebar") say nothing of the element.
+_BESIDE = re.compile(r"(?i)(?<![a-z])(?:has|with|without|no|hide|is)[-_][\w-]+")
 
 _NEVER = frozenset("nav aside menu dialog search footer".split())
 #: Words in a class, id or role that mark what stands around an article.
@@ -53,7 +55,9 @@ class _Element:
         sign, firm = (parent.sign, parent.firm) if parent else (0, False)
         # Each hyphen or underscore part of each name; a letter run after a lower-case one (camelCase) is a part too.
         label = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-        words = set(_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", label).lower())) if label.strip() else set()
+        words = set(_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", _BESIDE.sub(" ", label)).lower())) if label.strip() else set()
+        if parent and parent.sign > 0:
+            words.discard("header")  # an article's own head holds its title
         if words & _REMARKS or name in _NEVER:
             sign, firm = -1, True
         elif name == "form" or (name == "header" and not (parent and parent.sign > 0)) or (words & _AROUND and not (words & _INSIDE and name in ("body", "html", "main", "article"))):

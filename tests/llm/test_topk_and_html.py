@@ -59,6 +59,7 @@ PAGES = {
     "<div class='cookie-notice'>We use cookies to improve this site for you, accept them.</div><div id=main><p>This is a long first paragraph, with many words in it, that no one would call a menu.</p><p>Short.</p><p>And this is a long last paragraph, with many words in it too, which ends the page.</p></div><div class=sidebar><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>": "This is a long first paragraph, with many words in it, that no one would call a menu.\n\nShort.\n\nAnd this is a long last paragraph, with many words in it too, which ends the page.",
     "<article><p>Unclosed text <b>runs on <p>and on <script>never ends": "Unclosed text runs on\n\nand on",
     "<article>a < b and c > d, AT&T &eacute; &#233; &bogus;</article>": "a < b and c > d, AT&T é é &bogus;",
+    "<body class='single has-sidebar'><div id=page class='with-menu'><article class=post><div class=article-header><h1>Head</h1></div><div class=post-content><p>Body text.</p></div><div class=post-tags>tag one, tag two</div></article><div class=related-posts><p>Another story that you may like to read next, today.</p></div>": "Head\n\nBody text.",
     "<article></b></div><p>stray</p></article>": "stray",
     "": "",
 }
