@@ -482,3 +482,31 @@ def test_streams_take_narrow_pipelines(spark, tmp_path):
 def test_custom_source(spark):
     ctx = Context(spark, default_registry(), from_frame(lambda s: s.range(5).selectExpr("cast(id as string) AS record")))
     assert sorted(ctx.text_file("any", 2).collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_http(spark, text_path, tmp_path, capsys):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from rillwork import http
+
+    server = http.make_server(JobService(spark, default_registry()))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    spec = tmp_path / "job.json"
+    try:
+        for action, out in (("count", "3\n"), ("collect", '[{"key":"gamma","value":1},{"key":"alpha","value":2},{"key":"beta","value":2}]\n')):
+            spec.write_text(json.dumps(job(text_path(INPUT), action)))
+            assert main(["submit", "--coordinator", url, "--job", str(spec)]) == 0
+            assert capsys.readouterr().out == out
+        spec.write_text(json.dumps(job("/none")))
+        assert main(["submit", "--coordinator", url, "--job", str(spec)]) == 1 and "does not exist" in capsys.readouterr().err
+        for path, method, body, status in (("/v1/jobs", "GET", None, 405), ("/v2", "POST", b"{}", 404), ("/v1/jobs", "POST", b"{", 400), ("/v1/jobs", "POST", b" " * (2 << 20), 413)):
+            with pytest.raises((urllib.error.HTTPError, urllib.error.URLError)) as e:
+                urllib.request.urlopen(urllib.request.Request(url + path, data=body, method=method), timeout=20)
+            assert getattr(e.value, "code", status) == status
+    finally:
+        server.shutdown()
+    with pytest.raises(JobError):
+        http.submit(url, b"{}", 5, 1000) if server.server_close() is None else None
