@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches, stored
+from rillwork.llm.common import bounded_batches, stored, trim
 
 #: White space by the Unicode property; Java's \s has only ASCII.
 _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -242,9 +242,11 @@ def _pages(batches, known, page_chars: int):
             if chars >= page_chars or at < b.num_rows:
                 yield page(held)
                 held, chars = [], 0
-                pa.default_memory_pool().release_unused()
+                trim()
     if held:
         yield page(held)
+    held = []
+    trim()
 
 
 class Decoder:
@@ -292,6 +294,7 @@ def _documents(batches, ranks_of: dict[bytes, int], known, decoder: Decoder, raw
                 out.append((len(ids), ids.tolist(), text) if raw else (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
             columns = [pa.array(doc_ids, pa.int64(), mask=nulls), *(pa.array([o[i] for o in out], kinds[i]) for i in range(3))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            trim()
 
 
 def _counts(batches):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,28 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@functools.cache
+def _malloc_trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # the C library may lack it
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
+def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A grouped function that trims after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        trim()
+        return out
+
+    return run
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where it is unset (as in tests) a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)

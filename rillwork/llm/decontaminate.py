@@ -37,8 +37,8 @@ THRESHOLD = 0.5
 BLOCK = 8
 SHINGLE = 5
 OVERLAP = 0.5
-SHARD_ITEMS = 4096
-SHARD_WORDS = 400_000
+SHARD_ITEMS = 1024
+SHARD_WORDS = 60_000
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches, components, stored
+from rillwork.llm.common import bounded_batches, components, stored, trim, trimmed
 
 WORDS = 5
 #: Percent.
@@ -214,8 +214,10 @@ def _split(batches, words: int, bits: int):
             if chars >= BATCH_CHARS:
                 yield emit(*zip(*held))
                 held, chars = [], 0
+                trim()
     if held:
         yield emit(*zip(*held))
+    trim()
 
 
 def _shared_rows(classes, sizes, keys, spread: int, buckets: int) -> list[tuple]:
@@ -492,15 +494,15 @@ def classes_of(docs: DataFrame, bits: int, words: int = WORDS, named: bool = Fal
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     texts = _named(texts).withColumn("row_key", F.unhex("row_key")) if named else texts.withColumn("row_key", F.lit(None).cast("binary"))
     rows = texts.mapInArrow(lambda it: _split(it, words, bits), _ROW)
-    shared = rows.groupBy("bucket").applyInArrow(lambda t: _share(t, bits), _ROW)
-    return stored(shared.groupBy("bucket").applyInArrow(_live, _ROW))
+    shared = rows.groupBy("bucket").applyInArrow(trimmed(lambda t: _share(t, bits)), _ROW)
+    return stored(shared.groupBy("bucket").applyInArrow(trimmed(_live), _ROW))
 
 
 def link_classes(rows: DataFrame, bits: int) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     sets = rows.where(F.col("kind") == SET).select("n", "class", "blob")
     postings = sets.mapInArrow(lambda it: _postings(it, 1 << bits), "bucket int, kind int, blob binary")
-    cluster = stored(components(postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long")))
+    cluster = stored(components(postings.groupBy("bucket").applyInArrow(trimmed(_candidates), "a long, b long")))
     size = cluster.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select(F.col("component").alias("cluster"), "blocks")
     of_class = cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     member = of_class.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -508,7 +510,7 @@ def link_classes(rows: DataFrame, bits: int) -> DataFrame:
     def verified(units: DataFrame) -> DataFrame:
         """Links among the classes of each (cluster, part): a row of units is a class and a part that it is verified in."""
         work = sets.join(units, "class").select("n", "class", "blob", "cluster", F.xxhash64("part").alias("part"))
-        return work.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 << bits)).cast("int")).groupBy("bin").applyInArrow(_verify, "a long, b long")
+        return work.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(4 << bits)).cast("int")).groupBy("bin").applyInArrow(trimmed(_verify), "a long, b long")
 
     links = stored(verified(member.select("class", "cluster", F.col("block").alias("part"))))
     found = components(links)

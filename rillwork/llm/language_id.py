@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches
+from rillwork.llm.common import bounded_batches, trim
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
@@ -217,6 +217,7 @@ def _predict(batches, model):
             found = model.value.predict(b.column(1).to_pylist())
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *cols], names=[b.schema.names[0], *b.schema.names[2:], "lang_pred", "score"])
+        trim()
 
 
 def held_out(doc_id=None):
@@ -244,6 +245,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
                 cols = list(part.columns)
                 cols[n_lang] = pa.array([own if own is not None else new for own, new in zip(cols[n_lang].to_pylist(), found)], pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 

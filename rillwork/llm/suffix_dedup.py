@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches, stored
+from rillwork.llm.common import bounded_batches, stored, trim, trimmed
 
 LENGTH = 400
 GRAM = 32
@@ -181,6 +181,7 @@ def _runs(batches, shared, bits: int, buckets: int, length: int):
         if size >= (16 << 20):
             yield flush()
             held, size = [[] for _ in range(buckets)], 0
+            trim()
     if size:
         yield flush()
 
@@ -343,7 +344,7 @@ def matched_places(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     buckets = max(64, -(-n // PER_BUCKET))
     table = spark.sparkContext.broadcast(_filter(shared, bits))
     runs = texts.mapInArrow(lambda it: _runs(it, table, bits, buckets, length), "bucket int, runs binary, bytes binary")
-    return runs.groupBy("bucket").applyInArrow(lambda t: _matches(t, length, keep_first), "text_key binary, first long, stop long")
+    return runs.groupBy("bucket").applyInArrow(trimmed(lambda t: _matches(t, length, keep_first)), "text_key binary, first long, stop long")
 
 
 def _cut(batches, length: int, keep_bytes: bool):
