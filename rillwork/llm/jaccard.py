@@ -524,23 +524,28 @@ def link_classes(rows: DataFrame, bits: int) -> DataFrame:
         own = found.select(F.col("node").alias("class"), "component")
         return stored(large.join(own, "class", "left").withColumn("component", F.coalesce("component", "class")))
 
+    def apart(frame: DataFrame) -> int:
+        """How many components there are beyond one a cluster."""
+        n = frame.select("cluster", "component").distinct().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters")).first()
+        return n.n - n.clusters
+
     now = labelled()
-    parts = now.select("component").distinct().count()
-    while True:
+    left = apart(now)
+    while left:
         stand = now.groupBy("cluster", "component").agg(F.min("class").alias("class"))
         units = stand.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("units"), F.count(F.lit(1)).alias("left")).where("left > 1")
         unit = stand.join(units, "cluster").select("class", "cluster", F.concat(F.lit("u"), F.pmod(F.xxhash64("class"), F.col("units"))).alias("part"))
         links = stored(links.union(verified(unit)))
         found = components(links)
         now = labelled()
-        before, parts = parts, now.select("component").distinct().count()
-        if parts == before:
+        before, left = left, apart(now)
+        if left == before:
             break
-    # Then, where a cluster still has several components, every pair of its blocks.
-    apart = now.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cluster")
-    rest = now.join(apart, "cluster", "left_semi")
-    if rest.isEmpty():
+    if not left:
         return found
+    # Then, where a cluster still has several components, every pair of its blocks.
+    several = now.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cluster")
+    rest = now.join(several, "cluster", "left_semi")
     j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("j")
     other = F.col("j") + (F.col("j") >= F.col("block")).cast("int")
     pair = rest.select("class", "cluster", "block", j).select("class", "cluster", F.concat_ws("-", F.least("block", other), F.greatest("block", other)).alias("part"))
