@@ -40,7 +40,7 @@ _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Longer pieces are merged with a heap.
 FOLD_BYTES = 64
 #: A page ends after so many characters of text (a longer text is a page of its own).
-PAGE_CHARS = 6 << 20
+PAGE_CHARS = 3 << 20
 #: Documents of the sample (about) that the dictionary is taken from, and the most pieces it holds.
 SAMPLE_DOCS = 40_000
 DICTIONARY = 1 << 19
