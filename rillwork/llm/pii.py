@@ -7,7 +7,8 @@ pseudonyms in all documents, different values get different ones, and the holder
 
 Kinds: ``email`` (local part), ``card`` (scheme digit kept, check digit made valid), ``iban`` (country kept, check digits made valid),
 ``phone``, ``ssn``, ``ip`` (digits of each octet kept in number), ``date`` (any day from 1900 to 2099), ``secret`` (access keys, and values
-assigned to a name such as password or token).  Numbers that fail validation are left alone.
+assigned to a name such as password or token).  Numbers that fail validation are left alone,
+but for phone numbers marked by a + or by brackets: those that fail the numbering plan are permuted among themselves.
 
 Defined results.  Null text stays null with no findings; empty text stays empty.  Where shapes overlap the kind named first above wins.
 A date that reads both ways is taken as month/day/year for slashes, as day.month.year for points and hyphens.  Repeated rows each give a row; all other columns pass through.
@@ -127,14 +128,23 @@ def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
 
 def _phone(m: re.Match, key: bytes, back: bool) -> str | None:
     d = re.sub("[^0-9]", "", m[0])
-    if m[0].startswith("+") and not d.startswith("1"):
+    marked = m[0].startswith("+") or "(" in m[0]
+    if m[0].startswith("+") and not (len(d) == 11 and d[0] == "1"):
         if not 9 <= len(d) <= 15:
             return None
-        kept, rest = d[:2], d[2:]
+        n = 1 if d[0] == "1" else 2
+        kept, rest = d[:n], d[n:]
         return _fill(m[0], kept + "".join(map(str, _mixed([(int(c), 10) for c in rest], key, b"phone" + kept.encode(), back))))
     kept, d = (d[:1], d[1:]) if len(d) == 11 and d[0] == "1" else ("", d)
-    if len(d) != 10 or d[0] in "01" or d[3] in "01":
+    if len(d) != 10:
         return None
+    if d[0] in "01" or d[3] in "01":
+        if not marked:
+            return None
+        while True:  # among the numbers that fail the plan, so that none meets the pseudonym of one that keeps it
+            d = "".join(map(str, _mixed([(int(c), 10) for c in d], key, b"phone/any", back)))
+            if d[0] in "01" or d[3] in "01":
+                return _fill(m[0], kept + d)
     new = _mixed([(int(c) - 2, 8) if i in (0, 3) else (int(c), 10) for i, c in enumerate(d)], key, b"phone", back)
     return _fill(m[0], kept + "".join(str(x + 2 * (i in (0, 3))) for i, x in enumerate(new)))
 
@@ -196,7 +206,7 @@ _RULES = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"), _email),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("card", None, re.compile(r"(?<![0-9A-Za-z.+-])[2-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9A-Za-z]|[.-][0-9])"), _card),
-    ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(?:\+1[ .-]?|1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.+-])\+[1-9](?:[ .()-]{0,2}[0-9]){8,14}(?![0-9A-Za-z])"), _phone),
+    ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(?:(?:\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])|(?:1[ .-])?\([0-9]{3}\)[ .-]?)[0-9]{3}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.+-])\+[1-9](?:[ .()-]{0,2}[0-9]){8,14}(?![0-9A-Za-z])"), _phone),
     ("ssn", "-", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), _ssn),
     ("ip", ".", re.compile(r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"), _ip),
     ("date", None, re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"), _date),

@@ -88,6 +88,21 @@ def test_kinds(kind, value):
         assert len(new) == len(value) + 13 and pii.pseudonymise(new, back=True)[0] == f"before {value} after"
 
 
+@pytest.mark.parametrize("value", ["+1 (168) 555-5254", "(168) 555-5254", "(209) 155-5254", "1 (068) 055-5254", "+1 168 555 5254", "+11685555254", "+1 209 555 1594 12", "+1 (168) 555-5254-12"])
+def test_marked_phones_outside_the_plan(value):
+    new, found = pii.pseudonymise(f"before {value} after")
+    assert found == ["phone"] and value not in new and [c for c in new if not c.isdigit()] == [c for c in f"before {value} after" if not c.isdigit()]
+    assert pii.pseudonymise(new)[1] == ["phone"] and pii.pseudonymise(new, back=True)[0] == f"before {value} after"
+
+
+def test_phones_of_both_sorts_stay_apart():
+    values = [f"({a}) 555-01{i:02d}" for a in ("168", "209", "068") for i in range(100)]
+    new = [pii.pseudonymise(v)[0] for v in values]
+    assert len({*new}) == len(values)
+    assert [v[1] in "01" or v[6] in "01" for v in values] == [v[1] in "01" or v[6] in "01" for v in new]
+    assert pii.pseudonymise("x 168-555-5254 y") == ("x 168-555-5254 y", [])  # no mark: a number like any other
+
+
 def test_spacing_does_not_break_the_link():
     a, b = pii.pseudonymise("4041894974608795")[0], pii.pseudonymise("4041-8949-7460-8795")[0]
     assert a == b.replace("-", "")
