@@ -7,7 +7,7 @@ pseudonyms in all documents, different values get different ones, and the holder
 
 Kinds: ``email`` (local part), ``card`` (scheme digit kept, check digit made valid), ``iban`` (country kept, check digits made valid),
 ``phone``, ``ssn``, ``ip`` (digits of each octet kept in number), ``date`` (any day from 1900 to 2099), ``secret`` (access keys, and values
-assigned to a name such as password or token).  Numbers that fail validation are left alone,
+assigned to a name such as password or token: the whole run, dots between segments included).  Numbers that fail validation are left alone,
 but for phone numbers marked by a + or by brackets: those that fail the numbering plan are permuted among themselves.
 
 Defined results.  Null text stays null with no findings; empty text stays empty.  Where shapes overlap the kind named first above wins.
@@ -191,18 +191,42 @@ def _email(m: re.Match, key: bytes, back: bool) -> str | None:
     return _by_class(local, key, b"email/" + domain.lower().encode(), back) + at + domain
 
 
+#: Characters of a secret that are permuted as one number; its cost grows with the square of the length.
+_BLOCK = 1024
+
+
+def _long(text: str, key: bytes, tweak: bytes, back: bool, classes) -> str:
+    """_by_class for any length: by blocks, each with a tweak of the length and of all that stands before it."""
+    if len(text) <= _BLOCK:
+        return _by_class(text, key, tweak, back, classes)
+    out, seen = [], hashlib.blake2b(b"%d" % len(text), key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=16)
+    for i in range(0, len(text), _BLOCK):
+        part = text[i : i + _BLOCK]
+        out.append(_by_class(part, key, tweak + seen.digest(), back, classes))
+        seen.update((out[-1] if back else part).encode())
+    return "".join(out)
+
+
 def _secret(m: re.Match, key: bytes, back: bool) -> str | None:
     value = m["value"] or m["access"]
     start = m.start("value") if m["value"] else m.start("access")
     fixed = next((p for p in ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-") if value.startswith(p)), "")
-    hexed = next((c for c in (_HEX, _HEX_UPPER) if set(value) <= set(c) and not value.isdigit()), None)
-    new = fixed + _by_class(value[len(fixed) :], key, b"secret/" + fixed.encode(), back, (hexed,) if hexed else (_DIGITS, _LOWER, _UPPER))
+    hexed = next((c for c in (_HEX, _HEX_UPPER) if set(value) - {"."} <= set(c) and not value.replace(".", "").isdigit()), None)
+    new = fixed + _long(value[len(fixed) :], key, b"secret/" + fixed.encode(), back, (hexed,) if hexed else (_DIGITS, _LOWER, _UPPER))
     return m[0][: start - m.start()] + new + m[0][start - m.start() + len(value) :]
 
 
+_NAME = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key)"
+_ADDRESS = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+#: A whole run of segments with dots between them, of any length: a digit somewhere, a segment of eight characters or more, and, if
+#: the first is shorter, no e-mail address.  A segment that names the next value isn't part of it.
+_VALUE = (
+    rf"(?=[A-Za-z0-9_+/-])(?=(?:[A-Za-z_+/-]|={{0,2}}\.(?=[A-Za-z0-9_+/-]))*+[0-9])(?=(?:[A-Za-z0-9_+/-]*+={{0,2}}\.)*?[A-Za-z0-9_+/-]{{8}})(?:(?=[A-Za-z0-9_+/-]{{8}})|(?!{_ADDRESS}))"
+    rf"[A-Za-z0-9_+/-]++={{0,2}}(?:\.(?![A-Za-z0-9_+/-]*{_NAME}[ \t]{{0,2}}[=:])[A-Za-z0-9_+/-]++={{0,2}})*+"
+)
 #: kind, what a text must hold to be searched, shape, validation and pseudonym
 _RULES = (
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9_])(?:(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[po]_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])|(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?P<value>(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,128}={0,2}))"), _secret),
+    ("secret", None, re.compile(rf"(?<![A-Za-z0-9_])(?:(?P<access>(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[po]_[A-Za-z0-9]{{36}}|xox[bp]-[A-Za-z0-9-]{{20,}}|sk-[A-Za-z0-9]{{20,}})(?![A-Za-z0-9])|{_NAME}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?(?P<value>{_VALUE}))"), _secret),
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"), _email),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("card", None, re.compile(r"(?<![0-9A-Za-z.+-])[2-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9A-Za-z]|[.-][0-9])"), _card),

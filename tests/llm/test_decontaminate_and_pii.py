@@ -103,6 +103,34 @@ def test_phones_of_both_sorts_stay_apart():
     assert pii.pseudonymise("x 168-555-5254 y") == ("x 168-555-5254 y", [])  # no mark: a number like any other
 
 
+def _run(n, letters="0123456789abcdef", seed=0):
+    return "".join(random.Random(f"{n}/{seed}").choices(letters, k=n))
+
+
+_KEY64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("value", [_run(200), _run(128), _run(1024), _run(1025), _run(3000), _run(1600, _KEY64) + "==", _run(60_000, _KEY64), f"eyJhbGciOiJIUzI1NiJ9.{_run(80, _KEY64[:-2])}.{_run(43, _KEY64[:-2])}", f"eyJhbGciOi.{_run(40)}=.{_run(30)}", f"s.{_run(24)}", f"v2.local.{_run(90)}"])
+def test_whole_secrets(value):
+    text = f'a token = "{value}". The rest, token={value} 12'
+    new, found = pii.pseudonymise(text)
+    assert found == ["secret"] * 2 and len(new) == len(text) and pii.pseudonymise(new, back=True)[0] == text
+    got = new[11 : 11 + len(value)]
+    assert new == text.replace(value, got)
+    pieces = {value[i : i + 16] for i in range(len(value) - 15)}
+    assert not any(got[i : i + 16] in pieces for i in range(len(got) - 15))
+    assert [c for c in got if c in ".=+/"] == [c for c in value if c in ".=+/"]
+
+
+def test_secrets_side_by_side():
+    for text in ("token=a1b2c3d4.secret=abcd12345 z", "token=a1b2c3d4.secret: abcd12345 z", "token=abc.my-secret=abcd12345 z", "token=secret=abcd12345 z"):
+        new, _ = pii.pseudonymise(text)
+        assert "abcd12345" not in new and "a1b2c3d4" not in new and "secret" in new and pii.pseudonymise(new, back=True)[0] == text
+    assert pii.pseudonymise("pass: john.smithson1@mail.example.com")[1] == ["email"]
+    assert pii.pseudonymise("pass: 39.197.112.39, token: 31.12.1999")[1] == ["ip", "date"]
+    assert pii.pseudonymise("x" + "pwd=.pwd=pwd=.a." * 20_000 + "1")[1] == []
+
+
 def test_spacing_does_not_break_the_link():
     a, b = pii.pseudonymise("4041894974608795")[0], pii.pseudonymise("4041-8949-7460-8795")[0]
     assert a == b.replace("-", "")
