@@ -13,7 +13,8 @@ Verification.  An item is a question (all but the last sentence) and an answer (
 hit counts if at least half of the question's five-word shingles and half of the answer's stand in the words around the passage.
 
 Scale.  One narrow pass over documents.  The index is broadcast in shards of at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words, one
-pass a shard, so what is broadcast never exceeds that bound; a usual benchmark is one shard.
+pass a shard, so what is broadcast never exceeds that bound; a usual benchmark is one shard.  Document frequencies, the number of segments and
+their mean length are counted over all items first (on the driver, in proportion to the distinct words), so scores and hits don't depend on the shards.
 
 Defined results.  Null and empty texts or items give no hits.  An item without words is ignored.  Items of equal text each report.  Repeated rows each
 report; (doc_id, item_id) is reported once a row, with the best passage (ties: the first).  Case, punctuation and spacing are ignored.
@@ -66,30 +67,52 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+def _bags(text: str) -> list[dict[str, int]]:
+    """The words of each segment of an item, with their counts."""
+    q, a = question_answer(text)
+    words, bags = q + a, []
+    if words:
+        size = -(-len(words) // -(-len(words) // PASSAGE))
+        for k in range(0, len(words), size):
+            bag: dict[str, int] = {}
+            for w in words[k : k + size]:
+                bag[w] = bag.get(w, 0) + 1
+            bags.append(bag)
+    return bags
+
+
+class Statistics:
+    """What BM25 knows of all items: the number of segments, their words, and how many segments hold each word."""
+
+    def __init__(self, texts=()):
+        self.segments, self.words = 0, 0
+        self.df: dict[str, int] = {}
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str) -> None:
+        for bag in _bags(text):
+            self.segments += 1
+            self.words += sum(bag.values())
+            for w in bag:
+                self.df[w] = self.df.get(w, 0) + 1
+
+
 class Index:
-    """Normalised BM25 postings of one shard of items, with block maxima."""
+    """Normalised BM25 postings of one shard of items, with block maxima; the statistics are those of all shards (by default, of this one)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
+        of_all = of_all or Statistics(t for _, t in items)
         self.items = [(i, *question_answer(t)) for i, t in items if words_of(t)]
         self.segments: list[int] = []
         bags: list[dict[str, int]] = []
-        for at, (_, q, a) in enumerate(self.items):
-            words = q + a
-            n = -(-len(words) // PASSAGE)
-            size = -(-len(words) // n)
-            for k in range(0, len(words), size):
-                bag: dict[str, int] = {}
-                for w in words[k : k + size]:
-                    bag[w] = bag.get(w, 0) + 1
-                bags.append(bag)
-                self.segments.append(at)
-        df: dict[str, int] = {}
-        for bag in bags:
-            for w in bag:
-                df[w] = df.get(w, 0) + 1
+        for at, t in enumerate(t for _, t in items if words_of(t)):
+            own = _bags(t)
+            bags += own
+            self.segments += [at] * len(own)
+        df = {w: of_all.df[w] for bag in bags for w in bag}
         self.term = {w: i for i, w in enumerate(sorted(df))}
-        n = len(bags)
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
+        n, mean = of_all.segments, of_all.words / max(1, of_all.segments)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
         for seg, bag in enumerate(bags):
             norm = _K1 * (1 - _B + _B * sum(bag.values()) / mean)
@@ -97,7 +120,7 @@ class Index:
             total = sum(weight.values())
             for w, x in weight.items():
                 self.postings[self.term[w]].append((seg, x / total))
-        self.blocks = max(1, -(-n // BLOCK))
+        self.blocks = max(1, -(-len(bags) // BLOCK))
         self.block_max = np.zeros((len(df) + 1, self.blocks), dtype=np.float32)  # the last row is for words of no item
         for t, own in enumerate(self.postings):
             for seg, x in own:
@@ -197,19 +220,30 @@ class Index:
         return [[o[k] for k in sorted(o)] for o in out]
 
 
-def _shards(benchmark: DataFrame):
-    """Indexes of bounded size; items arrive in order of id, so only one shard is held."""
+def _groups(rows: DataFrame):
+    """Items within the bounds of a shard; they arrive in order of id, so only one shard is held."""
     held, words = [], 0
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         n = len(words_of(r.text))
         if held and (len(held) >= SHARD_ITEMS or words + n > SHARD_WORDS):
-            yield Index(held)
+            yield held
             held, words = [], 0
         held.append((r.item_id, r.text))
         words += n
     if held:
-        yield Index(held)
+        yield held
+
+
+def _shards(benchmark: DataFrame):
+    """Indexes of bounded size, weighted by the statistics of all items: a first pass counts, and a second, if there are several shards, builds."""
+    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
+    of_all, first, several = Statistics(), None, False
+    for held in _groups(rows):
+        for _, text in held:
+            of_all.add(text)
+        first, several = first or held, first is not None
+    for held in _groups(rows) if several else [first] if first else []:
+        yield Index(held, of_all)
 
 
 def _parts(texts: pa.Array, chars: int = 4 << 20):

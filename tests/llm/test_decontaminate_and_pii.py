@@ -54,6 +54,26 @@ def test_shards_agree(spark, docs, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in D.search(df, bench).collect()) == whole == [(i, i) for i in range(10)]
 
 
+def test_scores_do_not_depend_on_shards(spark, docs, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{min(r.randrange(400), r.randrange(400), r.randrange(400))}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    bench = [(i, f"{text(r.randrange(4, 90))}. {text(r.randrange(1, 6))}.") for i in range(41)]
+    rows = []
+    for _, t in bench:  # whole, partial and edited copies
+        own = t.split()
+        rows += [t, " ".join(own[: len(own) * 2 // 3]), " ".join(word() if r.random() < 0.12 else w for w in own), text(30) + " " + " ".join(own[len(own) // 3 :])]
+    df, bench = docs(rows), items(spark, bench)
+    whole = sorted(map(tuple, D.search(df, bench).collect()))
+    kept = sorted(x.doc_id for x in D.remove(df, bench).collect())
+    for name, bound in (("SHARD_ITEMS", 7), ("SHARD_ITEMS", 20), ("SHARD_WORDS", 300)):
+        with monkeypatch.context() as m:
+            m.setattr(D, name, bound)
+            assert sorted(map(tuple, D.search(df, bench).collect())) == whole
+            assert sorted(x.doc_id for x in D.remove(df, bench).collect()) == kept
+    assert len(whole) > 41
+
+
 def test_contamination_edges(spark, docs):
     assert D.search(docs(["a b c"]), items(spark, [])).collect() == []
     assert D.remove(docs(["a b c"]), items(spark, [])).count() == 1
