@@ -8,7 +8,7 @@ character place.  Texts are cut into windows of ``WINDOW`` characters that are p
 window's edge, for all languages alike); every character of every text is parsed.
 
 Training takes a bounded sample: at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` normalised characters a language, picked by
-a hash of doc_id among all labelled rows.  The model's size depends on those bounds alone, so it may be broadcast.
+a hash of doc_id among all labelled rows, and learned in that order with near copies of earlier texts last.  The model's size depends on those bounds alone, so it may be broadcast.
 
 Defined results.  Text that is null, empty or without a letter gives ``und`` and score 0.  Equal phrase counts go to the language first in
 alphabetical order.  With one learned language it always wins with score 1; with none all texts are ``und``.  Repeated rows
@@ -32,6 +32,8 @@ SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
 #: At most so many characters of one document, so that one text doesn't fill the sample.
 SAMPLE_DOC_CHARS = 1_000
+#: Texts are near copies if they share half of their strings of so many characters.
+NEAR_CHARS = 24
 WINDOW = 1024
 UNKNOWN = "und"
 
@@ -192,13 +194,25 @@ def fit(labelled: DataFrame) -> Model:
     chosen = keys.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= SAMPLE_DOCS).drop("n")
     ids = chosen.collect()
     wanted = sorted({r.doc_id for r in ids if r.doc_id is not None})
-    texts: dict[str, set[str]] = {}
+    texts: dict[str, list[tuple]] = {}
     if wanted:
         head = F.substring("text", 1, 4 * SAMPLE_DOC_CHARS)
-        rows = labelled.where(F.col("doc_id").isin(wanted) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", head.alias("text")).distinct()
-        for r in rows.collect():
-            texts.setdefault(r.lang, set()).add(r.text)
-    return Model({lang: sorted(own) for lang, own in texts.items()})
+        rows = labelled.where(F.col("doc_id").isin(wanted) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", head.alias("text"), F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id").alias("at"))
+        for r in rows.groupBy("lang", "text").agg(F.min("at").alias("at")).collect():
+            texts.setdefault(r.lang, []).append((*r["at"], r.text))
+    return Model({lang: varied([text for *_, text in sorted(own)]) for lang, own in texts.items()})
+
+
+def varied(texts: list[str]) -> list[str]:
+    """The texts in their order, those last that share half of their learned part's pieces with texts before, so that a group of near copies can't fill the sample."""
+    seen: set[bytes] = set()
+    new, near = [], []
+    for t in texts:
+        p = normalise(_codes(t)[:SAMPLE_DOC_CHARS])
+        own = {p[i : i + NEAR_CHARS].tobytes() for i in range(max(1, len(p) - NEAR_CHARS + 1))}
+        (near if 2 * len(own & seen) >= len(own) else new).append(t)
+        seen |= own
+    return new + near
 
 
 def _slices(batch: pa.RecordBatch, n_text: int, chars: int = 2 << 20):

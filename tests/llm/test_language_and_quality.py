@@ -78,3 +78,21 @@ def test_quality_edges(spark, docs):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     for kept, score in (("false", 0.5), ("quality = 1", 1.0), ("quality = 0", 0.0)):
         assert {r.score for r in Q.score(df, Q.fit(df, labels.where(kept))).collect()} == {score}
+
+
+def test_sample_in_hash_order_without_near_copies(spark, docs, monkeypatch):
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choices("bcdefghijk", k=6)) for _ in range(160))
+    base = "aaa " + text()
+    rows = [f"{base[:500]} x{chr(98 + i)} {base[500:]}" for i in range(20)] + [text() for _ in range(40)]  # near copies that sort first
+    seen = {}
+    model = L.Model
+    monkeypatch.setattr(L, "Model", lambda texts: seen.update(texts) or model(texts))
+    L.fit(docs(rows))
+    got = seen["en"]
+    learned = got[: L.SAMPLE_CHARS // L.SAMPLE_DOC_CHARS]
+    assert sorted(got) == sorted(rows)
+    assert sum(t.startswith("aaa") for t in learned) <= 1 and len({*learned}) == 24 and learned != sorted(learned)
+    order = [x.doc_id for x in docs(rows).selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    at = [order.index(rows.index(t)) for t in learned]
+    assert at == sorted(at)
