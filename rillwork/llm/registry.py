@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": jaccard.SQL,
-    "op7_suffix_array_dedup": suffix_dedup.query,
     "op8_exact_topk": topk.SQL,
 }

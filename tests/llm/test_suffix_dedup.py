@@ -97,3 +97,10 @@ def test_anchors_depend_on_the_string_alone(text):
         for i in range(first, first + places):
             assert of.setdefault(data[i : i + 50], key) == key
     assert len(of) == len({data[i : i + 50] for i in range(len(data) - 49)})
+
+
+def test_every_oracle_is_sql():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+    assert "op7_suffix_array_dedup" not in entry.oracle_sql()  # its reference is the brute force above
