@@ -6,8 +6,8 @@ A document's set holds its distinct five-word shingles (64-bit hashes).  Documen
    those that no other class holds can't be part of an intersection and end here (they still count in the set's size).
 2. Prefixes.  In a global order by frequency (unshared tokens first), two sets can link only if they share a token among the first
    n - ceil(0.75 n) + 1 of each.  Classes whose prefix is all unshared are finished; that is most of them.
-3. Candidate clusters.  In each list of a prefix token, postings are kept in blocks by size and by position: a posting whose position leaves too little is
-   skipped, and blocks of incompatible sizes are skipped at once.  Compatible neighbours are joined to clusters,
+3. Candidate clusters.  In each list of a prefix token, postings are kept in blocks by size: what a posting's position leaves bounds the size of its
+   partners, and blocks beyond those bounds are skipped at once.  Compatible neighbours are joined to clusters,
    inside each task first, so that what is shuffled of a list is one interval a task.
 4. Verification.  Within a cluster a set's overlaps with all others are derived from those of the most similar set done before,
    by walking the lists of the differing tokens only.  Clusters of more than ``BLOCK`` classes are verified in blocks, then by classes that
@@ -350,16 +350,17 @@ _INTERVAL = np.dtype([("key", "<u8"), ("low", "<i8"), ("high", "<i8"), ("class",
 def _chains(p: np.ndarray, union: _Union) -> np.ndarray:
     """Joins the intervals of each key that are of compatible size, and returns the joined intervals.
 
-    Postings are in blocks by key and size: a gap between a block's largest size and the next block's smallest that no pair of
-    linked sets can bridge (next > size / 0.75) skips everything beyond it."""
+    An interval is a block of postings: its smallest size, and the largest size of a partner that a posting of it may have by its size and position.
+    Two sets that link do so in the list of their first shared token, where the larger is no larger than the smaller's bound; so a block that
+    begins above all bounds before it skips everything before."""
     p = p[np.lexsort((p["low"], p["key"]))]
     if not len(p):
         return p
     edge = np.flatnonzero(np.append(True, p["key"][1:] != p["key"][:-1]))
-    # The largest size up to each posting of a key, by adding the key's rank times more than any size.
+    # The largest bound up to each posting of a key, by adding the key's rank times more than any size.
     rank = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(p))))
     reach = np.maximum.accumulate(p["high"] + rank * (1 << 40)) - rank * (1 << 40)
-    same = np.append(False, (p["key"][1:] == p["key"][:-1]) & (p["low"][1:] * THRESHOLD <= reach[:-1] * 100))
+    same = np.append(False, (p["key"][1:] == p["key"][:-1]) & (p["low"][1:] <= reach[:-1]))
     for i in np.flatnonzero(same).tolist():
         union.join(int(p["class"][i - 1]), int(p["class"][i]))
     first = np.flatnonzero(~same)
@@ -378,9 +379,10 @@ def _postings(batches, buckets: int):
             keys = np.frombuffer(s, dtype="<u8")
             unshared = m - len(keys)
             k = min(len(keys), prefix_length(m) - unshared)
-            # By position: after i earlier tokens at most m - i can be shared, and a partner has at least 0.75 m.
+            # By position: where the first shared token has i before it at most m - i can be shared, which bounds a partner's size.
+            left = m - unshared - np.arange(k)
             own = np.zeros(k, dtype=_INTERVAL)
-            own["key"], own["low"], own["high"], own["class"] = keys[:k], m, m, c
+            own["key"], own["low"], own["high"], own["class"] = keys[:k], m, left * (100 + THRESHOLD) // THRESHOLD - m, c
             parts.append(own)
         p = _chains(np.concatenate(parts), union)
         to = (_mix(p["key"]) & np.uint64(buckets - 1)).astype(np.int64)

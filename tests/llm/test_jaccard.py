@@ -158,3 +158,30 @@ def test_hashing_in_pieces(monkeypatch):
     monkeypatch.setattr(J, "PIECE", 37)
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, J.shingle_sets(texts), strict=True))
     assert [len(s) for s in whole] == [len(s) for s in sets_of(texts)]
+
+
+def test_positions_narrow_candidates():
+    """Random sets: every pair at the threshold is a candidate, and a token late in both prefixes alone makes none."""
+    import pyarrow as pa
+
+    def clusters(sets):
+        frame = pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(range(len(sets)), pa.int64()), pa.array([np.array(s, dtype="<u8").tobytes() for s in sets], pa.binary())], names=["n", "class", "blob"])
+        out = pa.Table.from_batches(list(J._postings([frame], 1)))
+        union = J._Union()
+        for a, b in zip(*J._candidates(out).to_pydict().values()):
+            union.join(a, b)
+        return [union.find(i) for i in range(len(sets))]
+
+    r = random.Random(6)
+    for _ in range(200):
+        base = [sorted(r.sample(range(60), r.randrange(4, 40))) for _ in range(3)]
+        sets = base + [sorted({x for x in r.choice(base) if r.random() > 0.1} | {r.randrange(60) for _ in range(r.randrange(3))}) for _ in range(9)]
+        sets = [list(s) for s in sorted({tuple(s) for s in sets if s})]
+        root = clusters(sets)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len({*a} & {*b}) >= J.THRESHOLD * len({*a} | {*b}):
+                    assert root[i] == root[j]
+    one, two = [*range(0, 5), 50, *range(100, 114)], [*range(5, 11), 50, *range(200, 219)]  # 20 and 26 tokens; 50 has 5 and 6 before it
+    assert J.prefix_length(20) == 6 and J.prefix_length(26) == 7
+    assert clusters([one, two]) == [0, 1]
