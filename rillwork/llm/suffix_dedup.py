@@ -1,4 +1,4 @@
-"""Removal of repeated passages by suffix arrays and longest-previous-factor (LPF) arrays.
+"""Removal of repeated passages by suffix ranks to a bounded depth.
 
 Two places hold the same string of ``length`` bytes exactly if their suffixes stand together in suffix order with a common prefix of
 that length; the previous and the next place in that order then give an earlier and a later match.  One suffix array of a whole
@@ -9,7 +9,8 @@ corpus isn't distributable, so the corpus is first dealt out so that equal strin
 2. Only anchors that occur twice matter.  Which do is counted over all texts (two hashes a key, on the map side first); the result is a
    bit filter of bounded size.  A false positive ships a run in vain and changes no result.
 3. The bytes of those runs go to the anchor's bucket.  There, equal runs are collapsed, windows whose fingerprint is unique are
-   dropped, and a suffix array of the rest, to a depth of ``length`` bytes, gives each place's LPF and its mirror image.
+   dropped, and the ranks of the rest in suffix order, to a depth of ``length`` bytes, tell whether each place's longest previous factor (LPF),
+   and its mirror image, reach ``length``: neighbours of equal rank.  No LPF array is computed; ``longest_previous_factor`` is for tests.
 4. The places that match are merged to spans and joined to the texts.
 
 Equal texts are one text with a count: all copies share one result, and a text that occurs twice is repeated throughout.
