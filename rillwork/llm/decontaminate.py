@@ -1,36 +1,42 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND.
 
 Index.  Test items are cut into segments of at most ``PASSAGE`` words.  A segment's BM25 weights are divided by the segment's
-score for itself, so a passage that holds the whole segment scores 1 and one threshold serves all items.  Postings are sorted by segment
-and cut into blocks of ``BLOCK`` segments with the largest weight of each term in each block.
+score for itself, so a passage that holds the whole segment scores 1 and one threshold serves all items.  Postings are flat arrays sorted by
+term and segment, and cut into blocks of ``BLOCK`` segments with the largest weight of each term in each block that holds it.
 
-Search.  Every document is read as passages of ``PASSAGE`` words, one every half passage.  For a batch of passages the block maxima
-are summed at once: a passage for which no block can reach the threshold has no pivot and is done.  For the others block-max WAND
-walks the postings: it picks the pivot by the terms' maxima, skips to the next block where block maxima fall short, scores
-exactly where they don't, and returns every segment at or above the threshold (there is no top-k cut).
+Search.  Every document is read as passages of ``PASSAGE`` words, one every half passage.  For many passages at once the terms' maxima
+are summed: a passage that can't reach the threshold has no pivot and is done.  Of the others the block maxima are summed, and those that
+no block can lift to the threshold are done too.  For the rest block-max WAND walks the postings: it picks the pivot by the terms' maxima,
+skips to the next block where block maxima fall short, scores exactly where they don't, and returns every segment at or above the
+threshold (there is no top-k cut).
 
 Verification.  An item is a question (all but the last sentence) and an answer (the last sentence; none if there is one sentence).  A
 hit counts if at least half of the question's five-word shingles and half of the answer's stand in the words around the passage.
 
-Scale.  One narrow pass over documents.  The index is broadcast in shards of at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words, one
-pass a shard, so what is broadcast never exceeds that bound; a usual benchmark is one shard.  Document frequencies, the number of segments and
-their mean length are counted over all items first (on the driver, in proportion to the distinct words), so scores and hits don't depend on the shards.
+Scale.  One narrow pass over documents.  The index is broadcast in shards of at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words (one
+item may be longer), one pass a shard, so what is broadcast never exceeds that bound: about 16 bytes a word, and the words themselves.  A usual
+benchmark is one shard.  Document frequencies, the number of segments and their mean length are counted over all items first (on the driver, in
+proportion to the distinct words), so scores and hits don't depend on the shards.  A worker holds term numbers of ``SLICE_CHARS`` characters of
+text at a time, and words only of the documents with candidates.
 
 Defined results.  Null and empty texts or items give no hits.  An item without words is ignored.  Items of equal text each report.  Repeated rows each
-report; (doc_id, item_id) is reported once a row, with the best passage (ties: the first).  Case, punctuation and spacing are ignored.
+report; (doc_id, item_id) is reported once a row, with the best passage (ties: the first).  Case, punctuation and spacing are ignored.  Extra columns
+are ignored by ``search`` and passed on by ``remove``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches
+from rillwork.llm.common import bounded_batches, stored, trim
 
 PASSAGE = 64
 HALF = PASSAGE // 2
@@ -38,8 +44,11 @@ THRESHOLD = 0.5
 BLOCK = 8
 SHINGLE = 5
 OVERLAP = 0.5
-SHARD_ITEMS = 1024
-SHARD_WORDS = 60_000
+SHARD_ITEMS = 16_384
+SHARD_WORDS = 1 << 20
+#: Characters of text that a worker reads at once (a longer text is read alone), and entries of block maxima summed at once.
+SLICE_CHARS = 512 << 10
+SUMMED = 1 << 20
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -98,8 +107,20 @@ class Statistics:
                 self.df[w] = self.df.get(w, 0) + 1
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes))
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0]+size[0]-1, first[1] .. and so on."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
 class Index:
-    """Normalised BM25 postings of one shard of items, with block maxima; the statistics are those of all shards (by default, of this one)."""
+    """Normalised BM25 postings of one shard of items, with block maxima; the statistics are those of all shards (by default, of this one).
+
+    Term t has the postings segment[at[t]:at[t + 1]] with their weights, and the blocks block[block_at[t]:block_at[t + 1]] with their maxima."""
 
     def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
         of_all = of_all or Statistics(t for _, t in items)
@@ -110,43 +131,45 @@ class Index:
             own = _bags(t)
             bags += own
             self.segments += [at] * len(own)
-        df = {w: of_all.df[w] for bag in bags for w in bag}
-        self.term = {w: i for i, w in enumerate(sorted(df))}
+        self.term = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
         n, mean = of_all.segments, of_all.words / max(1, of_all.segments)
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        size = sum(map(len, bags))
+        term, segment, weight, k = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size), 0
         for seg, bag in enumerate(bags):
             norm = _K1 * (1 - _B + _B * sum(bag.values()) / mean)
-            weight = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (_K1 + 1) / (tf + norm) for w, tf in bag.items()}
-            total = sum(weight.values())
-            for w, x in weight.items():
-                self.postings[self.term[w]].append((seg, x / total))
+            own = [math.log1p((n - of_all.df[w] + 0.5) / (of_all.df[w] + 0.5)) * tf * (_K1 + 1) / (tf + norm) for w, tf in bag.items()]
+            term[k : k + len(own)], segment[k : k + len(own)], weight[k : k + len(own)] = [self.term[w] for w in bag], seg, np.array(own) / math.fsum(own)
+            k += len(own)
+        order = np.lexsort((segment, term))
+        term, self.segment, self.weight = term[order], segment[order], weight[order]
+        self.at = _starts(np.bincount(term, minlength=len(self.term)))
         self.blocks = max(1, -(-len(bags) // BLOCK))
-        self.block_max = np.zeros((len(df) + 1, self.blocks), dtype=np.float32)  # the last row is for words of no item
-        for t, own in enumerate(self.postings):
-            for seg, x in own:
-                self.block_max[t, seg // BLOCK] = max(self.block_max[t, seg // BLOCK], x)
-        self.most = self.block_max.max(1)
+        edge = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (self.segment[1:] // BLOCK != self.segment[:-1] // BLOCK))[:size])
+        self.block = self.segment[edge] // BLOCK
+        self.block_max = np.maximum.reduceat(self.weight, edge) if size else self.weight
+        self.block_at = _starts(np.bincount(term[edge], minlength=len(self.term)))
+        self.most = np.maximum.reduceat(self.weight, self.at[:-1]) if size else self.weight
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: every (segment, score) with a score of at least the threshold, for a set of terms."""
         end = len(self.segments)
-        lists = [self.postings[t] for t in terms]
+        part = lambda array, of, t: array[of[t] : of[t + 1]].tolist()
+        lists = [list(zip(part(self.segment, self.at, t), part(self.weight, self.at, t))) for t in terms]
+        blocks = [dict(zip(part(self.block, self.block_at, t), part(self.block_max, self.block_at, t))) for t in terms]
+        most = [float(self.most[t]) for t in terms]
         at = [0] * len(terms)
         found = []
         order = sorted(range(len(terms)), key=lambda i: lists[i][0][0])
         here = lambda i: lists[i][at[i]][0] if at[i] < len(lists[i]) else end
 
         def forward(i: int, seg: int) -> None:
-            own, k = lists[i], at[i]
-            while k < len(own) and own[k][0] < seg:
-                k += 1
-            at[i] = k
+            at[i] = bisect.bisect_left(lists[i], (seg,), at[i])
 
-        slack = threshold - 1e-5  # block maxima are single precision
+        slack = threshold - 1e-9  # sums in another order may differ so much
         while True:
             total, pivot = 0.0, None
             for k, i in enumerate(order):
-                total += self.most[terms[i]]
+                total += most[i]
                 if total >= slack:
                     pivot = k
                     break
@@ -156,7 +179,7 @@ class Index:
             while pivot + 1 < len(order) and here(order[pivot + 1]) == seg:
                 pivot += 1
             block = seg // BLOCK
-            if sum(self.block_max[terms[i], block] for i in order[: pivot + 1]) < slack:
+            if sum(blocks[i].get(block, 0.0) for i in order[: pivot + 1]) < slack:
                 # No segment up to the block's end, or to the next list's place, can reach the threshold.
                 skip = min((block + 1) * BLOCK, here(order[pivot + 1]) if pivot + 1 < len(order) else end)
                 for i in order[: pivot + 1]:
@@ -172,53 +195,71 @@ class Index:
                     forward(i, seg)
             order = sorted((i for i in order if at[i] < len(lists[i])), key=here)
 
+    def _reachable(self, terms: np.ndarray, size: np.ndarray, slack: float) -> np.ndarray:
+        """Whether some block's maxima reach the threshold, for sets of distinct terms of the given sizes laid end to end."""
+        out = np.zeros(len(size), dtype=bool)
+        edge, entries = _starts(size), np.append(0, np.cumsum(self.block_at[terms + 1] - self.block_at[terms]))[_starts(size)]
+        a = 0
+        while a < len(size):
+            z = max(a + 1, min(int(np.searchsorted(entries, entries[a] + SUMMED, side="right")) - 1, a + max(1, SUMMED // self.blocks)))
+            own = terms[edge[a] : edge[z]]
+            n = self.block_at[own + 1] - self.block_at[own]
+            of = np.repeat(np.repeat(np.arange(z - a), size[a:z]), n)
+            where = _spread(self.block_at[own], n)
+            total = np.bincount(of * self.blocks + self.block[where], weights=self.block_max[where], minlength=(z - a) * self.blocks)
+            out[a:z] = total.reshape(z - a, self.blocks).max(1) >= slack
+            a = z
+        return out
+
     def hits(self, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
         """For each text the verified (item_id, score, question share, answer share), by item_id."""
-        get, none = self.term.get, len(self.term)
-        docs = [words_of(t) for t in texts]
-        size = np.array([len(d) for d in docs], dtype=np.int64)
-        ids = np.fromiter((get(w, none) for d in docs for w in d), dtype=np.int64, count=int(size.sum()))
+        none, slack = len(self.term), threshold - 1e-9
+        numbers = [self._numbers(t) for t in texts]
+        size = np.array([len(d) for d in numbers], dtype=np.int64)
+        ids = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int32)
         halves = -(-size // HALF)
         first = np.cumsum(halves) - halves
-        within = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-        half = np.repeat(first, size) + within // HALF
-        keys = np.unique((half * (none + 1) + ids)[ids != none])
+        half = np.repeat(first, size) + (np.arange(len(ids)) - np.repeat(_starts(size)[:-1], size)) // HALF
+        keys = np.unique((half * none + ids)[ids < none])
+        out: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
         if not len(keys):
-            return [[] for _ in docs]
-        half_of, term_of = keys // (none + 1), keys % (none + 1)
+            return [[] for _ in texts]
         n = int(halves.sum())
-        bound = np.zeros((n + 1, self.blocks), dtype=np.float32)
-        starts = np.flatnonzero(np.append(True, half_of[1:] != half_of[:-1]))
-        step = max(1, 4_000_000 // self.blocks)  # bounds the gathered rows
-        s = 0
-        while s < len(starts):
-            e = max(s + 1, int(np.searchsorted(starts, starts[s] + step)))
-            stop = starts[e] if e < len(starts) else len(keys)
-            bound[half_of[starts[s:e]]] = np.add.reduceat(self.block_max[term_of[starts[s] : stop]], starts[s:e] - starts[s])
-            s = e
+        term_of, edge = keys % none, np.searchsorted(keys, np.arange(n + 1) * none)
+        single = np.bincount(keys // none, weights=self.most[term_of], minlength=n + 1)
         last = np.zeros(n, dtype=bool)
         last[(first + halves - 1)[halves > 0]] = True
-        both = bound[:n] + np.where(last[:, None], 0, bound[1 : n + 1])
-        alive = np.flatnonzero((both.max(1) >= threshold - 1e-4) & (~last | np.isin(np.arange(n), first)))
-        owner = np.repeat(np.arange(len(docs)), halves)
-        out: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in docs]
-        edge = np.append(np.searchsorted(half_of, np.arange(n)), len(keys))
-        for h in alive.tolist():
-            d = int(owner[h])
-            stop = h + 1 if last[h] else h + 2
-            terms = sorted(set(term_of[edge[h] : edge[stop]].tolist()))
-            for seg, score in self.search(terms, threshold):
+        alone = np.zeros(n, dtype=bool)
+        alone[first[halves == 1]] = True
+        alive = np.flatnonzero((single[:n] + np.where(last, 0, single[1:]) >= slack) & (~last | alone))
+        stop = edge[alive + np.where(last[alive], 1, 2)]
+        # The distinct terms of each passage: of its two halves together.
+        count = stop - edge[alive]
+        pairs = np.unique(np.repeat(np.arange(len(alive)), count) * none + term_of[_spread(edge[alive], count)])
+        terms, count = pairs % none, np.bincount(pairs // none, minlength=len(alive))
+        keep = self._reachable(terms, count, slack)
+        begin, owner, words = _starts(count), np.searchsorted(first + halves, alive, side="right"), (None, [])
+        for k in np.flatnonzero(keep).tolist():
+            d = int(owner[k])
+            for seg, score in self.search(terms[begin[k] : begin[k + 1]].tolist(), threshold):
                 item, q, a = self.items[self.segments[seg]]
                 if item in out[d] and out[d][item][1] >= score:
                     continue
-                begin = (h - int(first[d])) * HALF
+                if words[0] != d:
+                    words = d, words_of(texts[d])
+                at = (int(alive[k]) - int(first[d])) * HALF
                 reach = len(q) + len(a)
-                around = docs[d][max(0, begin - reach) : begin + PASSAGE + reach]
+                around = words[1][max(0, at - reach) : at + PASSAGE + reach]
                 in_q, in_a = share(q, around), share(a, around)
                 if in_q >= OVERLAP and in_a >= OVERLAP:
                     out[d][item] = (item, score, in_q, in_a)
         return [[o[k] for k in sorted(o)] for o in out]
 
+    def _numbers(self, text: str | None) -> np.ndarray:
+        """The number of each word's term; the number of terms for words of no item."""
+        get, none = self.term.get, len(self.term)
+        return np.array([get(w, none) for w in words_of(text)], dtype=np.int32)
+
 
 def _groups(rows: DataFrame):
     """Items within the bounds of a shard; they arrive in order of id, so only one shard is held."""
@@ -246,14 +287,19 @@ def _shards(benchmark: DataFrame):
         yield Index(held, of_all)
 
 
-def _parts(texts: pa.Array, chars: int = 4 << 20):
-    """Slices of bounded text."""
-    sizes = np.cumsum([len(t.as_py() or "") for t in texts])
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + chars, side="right")))
-        yield a, b
-        a = b
+def _sliced(batches, n_text: int):
+    """Parts of the batches of bounded text."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(n_text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_CHARS, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+        trim()
+
+
+_HITS = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_share", pa.float64()), ("answer_share", pa.float64())]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -264,12 +310,11 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for b in batches:
-                for x, y in _parts(b.column(1)):
-                    hits = shared.value.hits(b.column(1).slice(x, y - x).to_pylist(), threshold)
-                    rows = [(i, *h) for i, own in zip(b.column(0).slice(x, y - x).to_pylist(), hits) for h in own]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "score", "question_share", "answer_share"])
+            for part in _sliced(batches, 1):
+                hits = shared.value.hits(part.column(1).to_pylist(), threshold)
+                rows = [(i, *h) for i, own in zip(part.column(0).to_pylist(), hits) for h in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _HITS)], names=[n for n, _ in _HITS])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -277,19 +322,16 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows without a verified hit, all columns kept; one narrow pass a shard of the index."""
-    n_text = bounded_batches(docs).columns.index("text")
+    """The rows without a verified hit, all columns kept; one narrow pass a shard of the index, each stored before the next."""
+    n_text, first = bounded_batches(docs).columns.index("text"), True
     for index in _shards(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for b in batches:
-                for x, y in _parts(b.column(n_text)):
-                    part = b.slice(x, y - x)
-                    clean = [not h for h in shared.value.hits(part.column(n_text).to_pylist(), threshold)]
-                    yield part.filter(pa.array(clean, pa.bool_()))
+            for part in _sliced(batches, n_text):
+                yield part.filter(pa.array([not h for h in shared.value.hits(part.column(n_text).to_pylist(), threshold)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, first = (docs if first else stored(docs)).mapInArrow(run, docs.schema), False
     return docs
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -19,8 +21,8 @@ def test_block_max_wand_as_exhaustive():
         threshold = r.choice([0.05, 0.2, 0.5])
         total = {}
         for t in terms:
-            for seg, x in index.postings[t]:
-                total[seg] = total.get(seg, 0) + x
+            for k in range(index.at[t], index.at[t + 1]):
+                total[index.segment[k]] = total.get(index.segment[k], 0) + index.weight[k]
         got = dict(index.search(terms, threshold))
         assert {s for s, x in total.items() if x >= threshold + 1e-9} <= set(got) <= {s for s, x in total.items() if x >= threshold - 1e-9}
 
@@ -74,6 +76,57 @@ def test_scores_do_not_depend_on_shards(spark, docs, monkeypatch):
     assert len(whole) > 41
 
 
+def brute(rows, bench, threshold=D.THRESHOLD):
+    """Every passage of every text scored against every segment of every item, and verified."""
+    bags = [(i, *D.question_answer(t), bag) for i, t in bench for bag in D._bags(t)]
+    df = {}
+    for *_, bag in bags:
+        for w in bag:
+            df[w] = df.get(w, 0) + 1
+    mean = sum(sum(bag.values()) for *_, bag in bags) / max(1, len(bags))
+    weights = []
+    for *_, bag in bags:
+        n = sum(bag.values())
+        own = {w: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for w, tf in bag.items()}
+        total = sum(own.values())
+        weights.append({w: x / total for w, x in own.items()})
+    out = []
+    for doc, t in rows:
+        words, best = re.findall(r"\w+", (t or "").lower()), {}
+        for at in [0] if len(words) <= 32 else range(0, len(words) - 32, 32):
+            have = set(words[at : at + 64])
+            for (item, q, a, _), own in zip(bags, weights):
+                score = sum(x for w, x in own.items() if w in have)
+                if score >= threshold and score > best.get(item, (0,))[0]:
+                    reach = len(q) + len(a)
+                    around = words[max(0, at - reach) : at + 64 + reach]
+                    if D.share(q, around) >= 0.5 and D.share(a, around) >= 0.5:
+                        best[item] = (score,)
+        out += [(doc, item, round(x[0], 9)) for item, x in best.items()]
+    return sorted(out)
+
+
+def test_query_as_brute_force(spark, tmp_path, monkeypatch):
+    """The registered query over whole tables: whole, partial and edited items in short and very long texts, in small slices and sums."""
+    r = random.Random(8)
+    word = lambda: f"w{min(r.randrange(500), r.randrange(500))}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    bench = [(i, f"{text(r.randrange(4, 150))}. {text(r.randrange(1, 6))}.") for i in range(60)] + [(99, None), (98, "")]
+    rows = [(0, None), (1, ""), (2, text(60_000)), (3, "w1")]
+    for i, (_, t) in enumerate(bench[:60]):
+        own = t.split()
+        rows.append((10 * i + 5, f"{text(r.randrange(0, 900))} {' '.join(own[: len(own) * r.randrange(4, 11) // 10])} {text(r.randrange(0, 90))}"))
+        rows.append((10 * i + 6, " ".join(word() if r.random() < 0.15 else w for w in own)))
+    rows.append(rows[7])
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark, bench).write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(D, "SLICE_CHARS", 3000)
+    monkeypatch.setattr(D, "SUMMED", 300)
+    want = brute(rows, [(i, t) for i, t in bench if t])
+    got = sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in D.query(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 20
+
+
 def test_contamination_edges(spark, docs):
     assert D.search(docs(["a b c"]), items(spark, [])).collect() == []
     assert D.remove(docs(["a b c"]), items(spark, [])).count() == 1
