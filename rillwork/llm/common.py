@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +51,34 @@ def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Tab
     return run
 
 
+def sliced(batches: Iterable[pa.RecordBatch], n_text: int, chars: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most so many characters of text each (a longer text alone), so that what a worker holds follows text and not rows."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(n_text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + chars, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+        trim()
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, or the first of name_1, name_2 and so on that no column has (names are compared without case)."""
+    low = {t.lower() for t in taken}
+    return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if n.lower() not in low)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (as in tests) a temporary one is set."""
+    """The shared folder named in spark.checkpoint.dir.  Where it is unset, a single-process session (as in tests) gets a temporary one; on a
+    cluster that is an error, since executors don't share a machine's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rillwork-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -68,18 +93,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): component is the smallest node that is reachable.
 
-    Alternates large-star and small-star steps: each node's neighbours are linked to its smallest neighbour.  Only minima are
-    aggregated per node, so a node with very many edges is combined before the shuffle; the joins may be split by AQE.
+    Alternates large-star and small-star steps, until nothing changes: each node's neighbours are linked to its smallest neighbour.  Only minima
+    are aggregated per node, so a node with very many edges is combined before the shuffle; the joins may be split by AQE.
+    Where rounds is given and too few, that is an error; links are never left out.
     """
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
     before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    for done in itertools.count() if before[0] else ():
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -6,11 +6,12 @@ A document's set holds its distinct five-word shingles (64-bit hashes).  Documen
    those that no other class holds can't be part of an intersection and end here (they still count in the set's size).
 2. Prefixes.  In a global order by frequency (unshared tokens first), two sets can link only if they share a token among the first
    n - ceil(0.75 n) + 1 of each.  Classes whose prefix is all unshared are finished; that is most of them.
-3. Candidate clusters.  In each list of a prefix token, postings are kept in blocks by size: what a posting's position leaves bounds the size of its
-   partners, and blocks beyond those bounds are skipped at once.  Compatible neighbours are joined to clusters,
+3. Candidate clusters.  In each list of a prefix token, postings are kept in blocks by size, each with the bound that positions set: where i
+   tokens stand before a posting, at most n - i can be shared, which bounds the size of its partners, and blocks beyond are skipped at once.  Compatible neighbours are joined to clusters,
    inside each task first, so that what is shuffled of a list is one interval a task.
-4. Verification.  Within a cluster a set's overlaps with all others are derived from those of the most similar set done before,
-   by walking the lists of the differing tokens only.  Clusters of more than ``BLOCK`` classes are verified in blocks, then by classes that
+4. Verification.  Within a cluster a set's overlaps with all others are derived from those of the most similar of the last ``KNOWN`` sets
+   done, by walking the lists of the differing tokens only (sets are taken by size, so near copies follow each other; a set that resembles none of
+   them walks all its lists).  Clusters of more than ``BLOCK`` classes are verified in blocks, then by classes that
    stand for the components found so far, and in pairs of blocks only where several components are left.
 5. Verified links are joined to components by star contraction.
 
@@ -31,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import bounded_batches, components, stored, trim, trimmed
@@ -41,14 +42,16 @@ WORDS = 5
 THRESHOLD = 75
 #: Classes verified together.
 BLOCK = 512
+#: Sets whose overlaps are kept to derive others from.
+KNOWN = 8
 #: A token in so many classes of one batch is sent as a mark.
 HOT = 24
 BATCH_CHARS = 4 << 20
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
-#: Documents a bucket, about; the number of buckets is a power of two that grows with the input.
+#: Documents a bucket, about; the number of buckets is a power of two that grows with the input (2**24 buckets are 34 thousand million documents).
 PER_BUCKET = 2048
-_LEAST_BITS, _MOST_BITS = 6, 14
+_LEAST_BITS, _MOST_BITS = 6, 24
 #: A token is the top 54 bits of its hash, the bucket's bits first; a key has the frequency (8 bits) above it.
 _TOKEN_BITS = 54
 _DF_MOST = 255
@@ -168,6 +171,13 @@ def _bucket_low(token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (token >> np.uint64(_TOKEN_BITS - bits)).astype(np.int64), token & np.uint64((1 << (_TOKEN_BITS - bits)) - 1)
 
 
+def _by_value(values: np.ndarray, order: np.ndarray):
+    """(value, its part of order) for each value of the sorted values."""
+    edge = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(values)]):
+        yield int(values[a]), order[a:z]
+
+
 def _split(batches, words: int, bits: int):
     """Step 1, before the shuffle: rows of documents, and each batch's tokens by bucket."""
     turn, buckets = 0, 1 << bits
@@ -200,9 +210,7 @@ def _split(batches, words: int, bits: int):
             to, low = _bucket_low(token, bits)
             order = np.flatnonzero(~hot)
             order = order[np.argsort(to[order], kind="stable")]
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
+            for b, at in _by_value(to[order], order):
                 rows.append((b, TOKENS, None, None, None, _pack(classes[at], sizes[at], low[at])))
         return _table(rows)
 
@@ -224,16 +232,13 @@ def _shared_rows(classes, sizes, keys, spread: int, buckets: int) -> list[tuple]
     """Packed keys of classes, by class bucket (in n; the row's own bucket only spreads it)."""
     to = (classes.view(np.uint64) & np.uint64(buckets - 1)).astype(np.int64)
     order = np.lexsort((classes, to))
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
     rows = []
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[c] : cuts[c + 1]]
-        if len(at):
-            own, n, key = classes[at], sizes[at], keys[at]
-            edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            head = np.zeros(len(edge), dtype=_GROUP)
-            head["class"], head["n"], head["count"] = own[edge], n[edge], np.diff(np.append(edge, len(own)))
-            rows.append(((spread + c) % buckets, SHARED, None, c, None, len(edge).to_bytes(4, "little") + head.tobytes() + key.astype("<u8").tobytes()))
+    for c, at in _by_value(to[order], order):
+        own, n, key = classes[at], sizes[at], keys[at]
+        edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        head = np.zeros(len(edge), dtype=_GROUP)
+        head["class"], head["n"], head["count"] = own[edge], n[edge], np.diff(np.append(edge, len(own)))
+        rows.append(((spread + c) % buckets, SHARED, None, c, None, len(edge).to_bytes(4, "little") + head.tobytes() + key.astype("<u8").tobytes()))
     return rows
 
 
@@ -387,8 +392,7 @@ def _postings(batches, buckets: int):
         p = _chains(np.concatenate(parts), union)
         to = (_mix(p["key"]) & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        rows = [(b, 0, p[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        rows = [(b, 0, p[at].tobytes()) for b, at in _by_value(to[order], order)]
         pairs = np.array(union.edges(), dtype="<i8").reshape(-1, 2)
         for b in range(min(buckets, len(pairs))):
             mine = pairs[b::buckets]
@@ -457,7 +461,7 @@ def link_cluster(classes: list[int], n: np.ndarray, sets: list[np.ndarray], unio
             both = best[1] + walk(np.setdiff1d(own[i], other, assume_unique=True)) - walk(np.setdiff1d(other, own[i], assume_unique=True))
         else:
             both = walk(own[i])
-        known = [*known[-7:], (i, both)]
+        known = [*known[1 - KNOWN :], (i, both)]
         for j in np.flatnonzero(100 * both >= THRESHOLD * (n[i] + n - both)).tolist():
             if j != i:
                 union.join(classes[i], classes[j])
@@ -485,16 +489,16 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(_MOST_BITS, max(_LEAST_BITS, (docs.count() // PER_BUCKET).bit_length()))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """Adds row_key: a name of (doc_id, text)."""
-    return docs.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit(":"), "text"))).cast("binary")))
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """A name of (doc_id, text)."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), "-").otherwise(F.concat(F.lit(":"), text))).cast("binary"))
 
 
 def classes_of(docs: DataFrame, bits: int, words: int = WORDS, named: bool = False) -> DataFrame:
     """Rows of documents (kind DOC: doc_id, n, class, and with named the row_key as blob) and the sets of the classes that may link
     (kind SET), stored once."""
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    texts = _named(texts).withColumn("row_key", F.unhex("row_key")) if named else texts.withColumn("row_key", F.lit(None).cast("binary"))
+    texts = texts.withColumn("row_key", F.unhex(_row_key(F.col("doc_id"), F.col("text"))) if named else F.lit(None).cast("binary"))
     rows = texts.mapInArrow(lambda it: _split(it, words, bits), _ROW)
     shared = rows.groupBy("bucket").applyInArrow(trimmed(lambda t: _share(t, bits)), _ROW)
     return stored(shared.groupBy("bucket").applyInArrow(trimmed(_live), _ROW))
@@ -577,10 +581,12 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     without a shingle link with nothing and all stay; rows equal in doc_id and text are one."""
     found = _joined(docs, words, True).where(F.col("class").isNotNull())
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select(F.lower("best.row_key").alias("row_key"))
-    named = _named(docs)
-    has_words = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    kept = named.where(has_words).join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"])
-    return kept.select(*docs.columns).unionByName(docs.where(~has_words | F.col("text").isNull()))
+    # The user's columns travel in a struct, so that none can clash with ours.
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    has_words = F.col("row.text").rlike("[^\\x20\\x09-\\x0D]")
+    named = rows.where(has_words).select("row", _row_key(F.col("row.doc_id").cast("long"), F.col("row.text")).alias("row_key"))
+    kept = named.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row")
+    return kept.unionByName(rows.where(~has_words | F.col("row.text").isNull())).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,8 @@ def test_keep_one(spark, docs):
     df = docs([*rows, rows[50], rows[51]], extra=True)
     kept = J.keep_one(df)
     assert kept.columns == df.columns
+    by = {tuple(r)[:2]: tuple(r) for r in df.collect()}
+    assert all(tuple(r) == by[tuple(r)[:2]] for r in kept.collect())  # the user's row_key and the like pass through
     sets = sets_of([t for _, t in rows])
     want = sorted({c for (d, n, c) in brute(rows) if n} | {i for i, s in enumerate(sets) if not s})
     assert sorted(r.doc_id for r in kept.collect()) == want
@@ -150,6 +152,9 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in {x for a, b in edges if a != b for x in (a, b)}}
+    with pytest.raises(RuntimeError, match="not complete after 1 rounds"):
+        components(spark.createDataFrame(edges, "a long, b long"), rounds=1)
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long"), rounds=0).collect() == []
 
 
 def test_hashing_in_pieces(monkeypatch):
@@ -185,3 +190,15 @@ def test_positions_narrow_candidates():
     one, two = [*range(0, 5), 50, *range(100, 114)], [*range(5, 11), 50, *range(200, 219)]  # 20 and 26 tokens; 50 has 5 and 6 before it
     assert J.prefix_length(20) == 6 and J.prefix_length(26) == 7
     assert clusters([one, two]) == [0, 1]
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from rillwork.llm import common
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=jsc))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(cluster)
