@@ -32,11 +32,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches, stored, trim
+from rillwork.llm.common import bounded_batches, sliced, stored
 
 PASSAGE = 64
 HALF = PASSAGE // 2
@@ -287,18 +286,6 @@ def _shards(benchmark: DataFrame):
         yield Index(held, of_all)
 
 
-def _sliced(batches, n_text: int):
-    """Parts of the batches of bounded text."""
-    for b in batches:
-        sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(n_text)), 0).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_CHARS, side="right")))
-            yield b.slice(a, z - a)
-            a = z
-        trim()
-
-
 _HITS = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_share", pa.float64()), ("answer_share", pa.float64())]
 
 
@@ -310,7 +297,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for part in _sliced(batches, 1):
+            for part in sliced(batches, 1, SLICE_CHARS):
                 hits = shared.value.hits(part.column(1).to_pylist(), threshold)
                 rows = [(i, *h) for i, own in zip(part.column(0).to_pylist(), hits) for h in own]
                 if rows:
@@ -328,7 +315,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for part in _sliced(batches, n_text):
+            for part in sliced(batches, n_text, SLICE_CHARS):
                 yield part.filter(pa.array([not h for h in shared.value.hits(part.column(n_text).to_pylist(), threshold)], pa.bool_()))
 
         docs, first = (docs if first else stored(docs)).mapInArrow(run, docs.schema), False

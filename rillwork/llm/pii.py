@@ -6,30 +6,43 @@ written back in the same format.  The permutation depends on the key, the kind a
 pseudonyms in all documents, different values get different ones, and the holder of the key can undo it.
 
 Kinds: ``email`` (local part), ``card`` (scheme digit kept, check digit made valid), ``iban`` (country kept, check digits made valid),
-``phone``, ``ssn``, ``ip`` (digits of each octet kept in number), ``date`` (any day from 1900 to 2099), ``secret`` (access keys, and values
+``phone``, ``ssn``, ``ip`` (digits of each octet kept in number), ``date`` (any day from 1900 to 2099; order, separator and the digits of day
+and month are kept), ``secret`` (access keys, and values
 assigned to a name such as password or token: the whole run, dots between segments included).  Numbers that fail validation are left alone,
 but for phone numbers marked by a + or by brackets: those that fail the numbering plan are permuted among themselves.
 
-Defined results.  Null text stays null with no findings; empty text stays empty.  Where shapes overlap the kind named first above wins.
-A date that reads both ways is taken as month/day/year for slashes, as day.month.year for points and hyphens.  Repeated rows each give a row; all other columns pass through.
+Dates are permuted among the dates that can be written with as many digits and are read in the same order, so that a pseudonym is read as its
+original was.  The same day written in two ways with two digits for day and month has one pseudonym; one-digit forms are permuted by themselves.
 
-One narrow pass over whole texts; no shuffle, nothing broadcast but the key.
+The key comes from the session setting ``spark.rillwork.pii.key``.  Where that is unset, as in tests, the queries use a public key and warn: what
+is replaced with it can be undone by anyone.  ``transform`` has no default.
+
+Defined results.  Null text stays null with no findings; empty text stays empty.  Where shapes overlap the kind named first wins, in the order secret, email,
+iban, card, phone, ssn, ip, date.  A date that reads both ways is taken as month/day/year for slashes, as day.month.year for points and hyphens.  Repeated
+rows each give a row; all other columns pass through, and where one is called n_replaced or pii_kinds already, the new one is n_replaced_1 or pii_kinds_1.
+An empty table gives no rows.
+
+One narrow pass over whole texts; no shuffle, nothing broadcast but the key.  Work is linear in the text but for single values.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import bounded_batches
+from rillwork.llm.common import bounded_batches, free_name, sliced
 
-DEFAULT_KEY = b"pseudonym key: replace in production"
+KEY_SETTING = "spark.rillwork.pii.key"
+#: For tests and trials; it is public.
+TRIAL_KEY = b"pseudonym key: replace in production"
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "phone", "ssn", "ip", "date")
 
@@ -37,18 +50,25 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 _HEX, _HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 
 
+@functools.lru_cache(4096)
+def _keyed(key: bytes, tweak: bytes):
+    return hashlib.blake2b(key=hashlib.blake2b(key, digest_size=32).digest(), person=hashlib.blake2b(tweak, digest_size=16).digest())
+
+
 def permute(value: int, size: int, key: bytes, tweak: bytes, *, back: bool = False) -> int:
     """A keyed permutation of 0 .. size-1; back=True undoes it."""
     if size < 2:
         return value
     half = max(1, (size - 1).bit_length() + 1) // 2 or 1
     mask = (1 << half) - 1
-    width = (half + 7) // 8
+    width, keyed = (half + 7) // 8, _keyed(key, tweak)
 
     def f(i: int, x: int) -> int:
         out, block = b"", 0
         while len(out) < width:
-            out += hashlib.blake2b(bytes([i, block]) + x.to_bytes(width, "big"), key=hashlib.blake2b(key, digest_size=32).digest(), person=hashlib.blake2b(tweak, digest_size=16).digest()).digest()
+            h = keyed.copy()
+            h.update(bytes([i, block]) + x.to_bytes(width, "big"))
+            out += h.digest()
             block += 1
         return int.from_bytes(out[:width], "big") & mask
 
@@ -166,7 +186,12 @@ def _ip(m: re.Match, key: bytes, back: bool) -> str | None:
     return ".".join(str(x + low[len(p)]) for x, p in zip(new, parts))
 
 
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+@functools.cache
+def _days(month_digits: int, day_digits: int, late: bool) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """The days from 1900 to 2099 that can be written with so many digits (late: only those after the 12th), and the place of each."""
+    first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+    days = [d for d in map(datetime.date.fromordinal, range(first, last + 1)) if (month_digits == 2 or d.month < 10) and (day_digits == 2 or d.day < 10) and (not late or d.day > 12)]
+    return days, {d: i for i, d in enumerate(days)}
 
 
 def _date(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -174,15 +199,17 @@ def _date(m: re.Match, key: bytes, back: bool) -> str | None:
     orders = ["ymd"] if len(a) == 4 else (["mdy", "dmy"] if sep == "/" else ["dmy", "mdy"])
     for order in orders:
         part = dict(zip(order, (a, b, c)))
+        # The second order is only read where the first can't be: where a day after the 12th stands in the month's place.
+        form = len(part["m"]), len(part["d"]), order != orders[0]
+        days, place = _days(*form)
         try:
-            day = datetime.date(*(int(part[k]) for k in "ymd")).toordinal()
+            at = place.get(datetime.date(*(int(part[k]) for k in "ymd")))
         except ValueError:
             continue
-        if _FIRST <= day <= _LAST:
-            new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date", back=back))
-            number = {"y": str(new.year), "m": str(new.month), "d": str(new.day)}
-            padded = all(len(part[k]) == 2 for k in "md") if order != "ymd" else len(b) == 2
-            return sep.join(number[k].zfill(2) if padded else number[k] for k in order)
+        if at is not None:
+            new = days[permute(at, len(days), key, b"date/%d%d%d" % form, back=back)]
+            number = {"y": f"{new.year}", "m": f"{new.month:0{form[0]}d}", "d": f"{new.day:0{form[1]}d}"}
+            return sep.join(number[k] for k in order)
     return None
 
 
@@ -238,24 +265,27 @@ _RULES = (
 _DIGIT = re.compile("[0-9]")
 
 
-def pseudonymise(text: str, key: bytes = DEFAULT_KEY, *, back: bool = False) -> tuple[str, list[str]]:
+def pseudonymise(text: str, key: bytes = TRIAL_KEY, *, back: bool = False) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds found in order; back=True restores the original."""
     if not _DIGIT.search(text) and "@" not in text:  # every kind but an e-mail address holds a digit
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, without overlaps
     for kind, needs, shape, make in _RULES:
         if needs and needs not in text:
             continue
+        own, i = [], 0
         for m in shape.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y, _, _ in found):
+            while i < len(found) and found[i][1] <= a:
+                i += 1
+            if i < len(found) and found[i][0] < b:
                 continue
             new = make(m, key, back)
             if new is not None:
-                found.append((a, b, kind, new))
+                own.append((a, b, kind, new))
+        found = sorted(found + own)
     if not found:
         return text, []
-    found.sort()
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]
@@ -263,24 +293,38 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY, *, back: bool = False) ->
     return "".join(out) + text[at:], [k for _, _, k, _ in found]
 
 
-def transform(docs: DataFrame, key: bytes = DEFAULT_KEY, counts: bool = True) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session, or else the public one with a warning."""
+    own = spark.conf.get(KEY_SETTING, None)
+    if own:
+        if len(own) < 16:
+            raise ValueError(f"{KEY_SETTING} must have 16 characters or more")
+        return own.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key and can be undone by anyone", stacklevel=2)
+    return TRIAL_KEY
+
+
+def transform(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
     """All columns with text replaced; with counts, also n_replaced and pii_kinds (kind to number)."""
+    if not key:
+        raise ValueError("a key is required")
     n_text = bounded_batches(docs).columns.index("text")
+    names = [free_name(n, docs.columns) for n in ("n_replaced", "pii_kinds")] if counts else []
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, n_text):
             done = [(None, []) if t is None else pseudonymise(t, key) for t in b.column(n_text).to_pylist()]
             cols = list(b.columns)
             cols[n_text] = pa.array([d[0] for d in done], pa.string())
             if counts:
                 cols += [pa.array([len(d[1]) for d in done], pa.int64()), pa.array([[(k, d[1].count(k)) for k in KINDS if k in d[1]] for d in done], pa.map_(pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *(["n_replaced", "pii_kinds"] if counts else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])
 
-    extra = [T.StructField("n_replaced", T.LongType()), T.StructField("pii_kinds", T.MapType(T.StringType(), T.LongType()))] if counts else []
+    extra = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.MapType(T.StringType(), T.LongType())))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kinds = [F.coalesce(F.col("pii_kinds")[k], F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return transform(docs).select("doc_id", "text", "n_replaced", *kinds)
+    return transform(docs, session_key(spark)).select("doc_id", "text", "n_replaced", *kinds)
