@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": jaccard.SQL,
+    "op6_sharding": sharding.SQL,
     "op8_exact_topk": topk.SQL,
 }

@@ -1,5 +1,8 @@
+import shutil
 import zlib
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rillwork.llm import sharding as S
@@ -46,18 +49,45 @@ def test_growing_is_even_and_moves_only_to_the_new_shard(spark):
 def test_stored_versions_and_rebalancing(spark, docs, tmp_path):
     path = str(tmp_path / "map")
     df = docs([(i, "x" * (5000 if i < 5 else 10)) for i in range(400)])
-    first = S.slot_map(spark, 4, slots=64)
-    S.write_version(first, path)
     sizes = S.slot_bytes(df, slots=64)
-    second = S.rebalance(spark, S.read_version(spark, path), sizes)
-    S.write_version(second, path)
+    S.write_version(S.slot_map(spark, 4, 64, sizes), path, 0)
+    S.write_version(S.rebalance(S.read_version(spark, path)), path, 1)
 
     def spread(m):
-        load = [r["sum(bytes)"] for r in m.join(sizes, "vslot").groupBy("shard").agg(F.sum("bytes")).collect()]
+        load = [r["sum(bytes)"] for r in m.groupBy("shard").agg(F.sum("bytes")).collect()]
         return max(load) - min(load)
 
     assert spread(S.read_version(spark, path)) < spread(S.read_version(spark, path, 0))
     assert S.read_version(spark, path).first().version == 1
+    assert sum(r.bytes for r in S.read_version(spark, path, 0).collect()) == 5 * 5016 + 395 * 26
+    with pytest.raises(AnalysisException):
+        S.write_version(S.read_version(spark, path, 0), path, 1)  # a stored version stays as it is
+
+
+def test_the_query_goes_by_the_stored_map(spark, docs, tmp_path):
+    """Version 0 with the bytes of every slot, version 1 made of it; without the map there is no result."""
+    path = str(tmp_path / "map")
+    df = docs([(i, "é" * (i % 50)) for i in range(300)] + [(None, None)])
+    out = S.shard(df, 7, path)
+    maps = [{r.vslot: r for r in S.read_version(spark, path, v).collect()} for v in (0, 1)]
+    assert all(len(m) == S.SLOTS for m in maps) and sum(r.rows for r in maps[0].values()) == 301
+    for r in out.collect():
+        assert (r.shard, r.grown_shard) == (maps[0][r.vslot].shard, maps[1][r.vslot].shard)
+    shutil.rmtree(path)
+    with pytest.raises(Exception, match="(?i)does not exist|not found"):
+        out.select("shard").collect()
+
+
+def test_sql(spark, tmp_path):
+    """Copies, nulls and a hot doc_id by the SQL that checks the query."""
+    import duckdb
+
+    rows = [(i % 70 if i % 3 else 5, f"text {i % 40} é" * (i % 5)) for i in range(400)] + [(None, "x"), (None, None), (1, None), (1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        c = duckdb.connect()
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet" + ("'" if "sf0" in d else "/*.parquet'"))
+        assert sorted(map(tuple, S.query(spark, d).collect()), key=str) == sorted(c.sql(S.SQL).fetchall(), key=str)
 
 
 def test_empty(spark, docs):
