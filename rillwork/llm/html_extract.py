@@ -1,17 +1,21 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into text blocks at block-level elements.  A classifier turns each block's place and text into two terminal
-capacities: the cost of calling it boilerplate and the cost of calling it content.  Adjacent blocks, and blocks under the same
-parent, are joined by smoothness edges that are the heavier the more ancestors they share.  The blocks on the source's side of the
-minimum cut (Dinic's max-flow) are the main text.
+A page is cut into text blocks at block-level elements.  A linear classifier turns each block's place, names and text (``WEIGHTS``) into log-odds of
+being content, and these into two terminal capacities: the cost of calling it boilerplate and the cost of calling it content.  Adjacent blocks,
+and blocks under the same parent, are joined by smoothness edges that are the heavier the more ancestors they share, and light between different
+zones (an article, a menu, a comment list).  An edge is worth about as much as a middling classifier result, so the cut decides where a block
+by itself says little: a short or linked line goes with what stands around it.  The blocks on the source's side of the minimum cut (Dinic's
+max-flow) are the main text.
 
-White space inside a block becomes one space; blocks are joined in page order by two newlines; nothing else is dropped or capped.
+White space inside a block becomes one space; blocks are joined in page order by two newlines; nothing else is dropped or capped.  Scripts, styles,
+templates, frames, fields of forms, and what media elements and noscript hold as a substitute are markup and not text; text in math, svg and object
+elements is text.
 
 Defined results.  Null html and pages without main text give the empty text.  Unclosed and stray tags are repaired as browsers do in the plain cases: a
 block-level start ends an open paragraph, an end tag without a start is ignored, an unclosed script, style or comment runs to the end.
-Where both labels cost the same a block is boilerplate.  Repeated rows each give a row; extra columns are ignored.
+Where both labels cost the same a block is boilerplate.  Repeated rows each give a row; extra columns are ignored.  An empty table gives no rows.
 
-One narrow pass; memory is bounded by the largest page; work is near linear in a page's blocks.
+One narrow pass; memory is bounded by the largest page; work is near linear in a page's length and blocks.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches
+from rillwork.llm.common import bounded_batches, sliced
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template title textarea iframe svg math object audio video canvas select".split())
+_RAW = frozenset("script style noscript template title textarea iframe audio video canvas select".split())
 _ENDS_P = _BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 #: An open element of the key is closed by a start tag of the values.
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
@@ -42,32 +46,48 @@ _BESIDE = re.compile(r"(?i)(?<![a-z])(?:has|with|without|no|hide|is)[-_][\w-]+")
 
 _NEVER = frozenset("nav aside menu dialog search footer".split())
 #: Words in a class, id or role that mark what stands around an article.
-_AROUND = frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation navigational newsletter notice notices overlay pager pagination paywall popup print promo promoted promotion recommended related rail share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar topbar trending widget widgets complementary contentinfo search".split())
+_AROUND = frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation navigational newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related rail share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar trending widget widgets complementary contentinfo search".split())
+#: Words that mark what may belong to an article or not.
+_MAYBE = frozenset("print tags teaser toc".split())
 _REMARKS = frozenset("comment comments commentlist commentary disqus discussion replies reply respond reviews".split())
 _INSIDE = frozenset("article articlebody body content entry main maincontent post story text".split())
 
 
+#: Log-odds of content: of the zone that a block stands in, and of its own form and text.
+WEIGHTS = {
+    "article": 2.5, "inside": 1.2, "around": -5.0, "maybe": -3.2,
+    "links": -2.8, "links in an article": -1.8, "words": 1 / 15, "most of words": 2.0, "few words": -0.6, "sentence": 0.5, "heading": 0.5, "paragraph": 0.3, "hidden": -0.7, "rights": -4.0,
+}
+#: Smoothness of neighbours in one zone and in two, and of blocks under one parent.
+SAME_ZONE, OTHER_ZONE, SAME_PARENT = 1.2, 0.2, 0.5
+
+
 class _Element:
-    __slots__ = ("depth", "name", "parent", "sign", "firm", "link", "hidden")
+    __slots__ = ("depth", "name", "parent", "prior", "zone", "firm", "link", "hidden")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: "_Element | None"):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
-        sign, firm = (parent.sign, parent.firm) if parent else (0, False)
+        prior, zone, firm = (parent.prior, parent.zone, parent.firm) if parent else (0.0, None, False)
+        own = None
         # Each hyphen or underscore part of each name; a letter run after a lower-case one (camelCase) is a part too.
         label = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
         words = set(_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", _BESIDE.sub(" ", label)).lower())) if label.strip() else set()
-        if parent and parent.sign > 0:
+        if prior > 0:
             words.discard("header")  # an article's own head holds its title
-        if words & _REMARKS or name in _NEVER:
-            sign, firm = -1, True
-        elif name == "form" or (name == "header" and not (parent and parent.sign > 0)) or (words & _AROUND and not (words & _INSIDE and name in ("body", "html", "main", "article"))):
-            if name not in ("body", "html"):
-                sign = -1
-        elif not firm and (name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"):
-            sign = 2
-        elif sign == 0 and words & _INSIDE and name not in ("body", "html"):
-            sign = 1
-        self.sign, self.firm = sign, firm
+        main = name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
+        if name in ("body", "html"):
+            pass
+        elif words & _REMARKS or name in _NEVER:
+            own, firm = WEIGHTS["around"], True
+        elif name == "form" or (name == "header" and not prior > 0) or (words & _AROUND and not (words & _INSIDE and name in ("main", "article"))):
+            own = WEIGHTS["around"]
+        elif main and not firm:
+            own = WEIGHTS["article"]
+        elif words & _MAYBE:
+            own = prior + WEIGHTS["maybe"]
+        elif words & _INSIDE and prior == 0:
+            own = WEIGHTS["inside"]
+        self.prior, self.zone, self.firm = (prior, zone, firm) if own is None else (own, self, firm)
         self.link = name == "a" or bool(parent and parent.link)
         style = attrs.get("style", "").replace(" ", "").lower()
         self.hidden = bool(parent and parent.hidden) or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
@@ -89,6 +109,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     run: list[str] = []
     linked = 0
+    endless: set[str] = set()
 
     def holder() -> _Element:
         return next(e for e in reversed(stack) if e.name in _BLOCK or e is root)
@@ -104,7 +125,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not stack[-1].hidden:
+        if raw:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
             if stack[-1].link:
@@ -159,8 +180,11 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID:
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            nested = name in ("svg", "math", "object", "audio", "video", "canvas", "select", "noscript", "template", "iframe")
+            # Once no end follows, none does later: an unclosed tag is searched for once.
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            nested = name in ("audio", "video", "canvas", "select", "noscript", "template", "iframe")
+            if end is None:
+                endless.add(name)
             if end or not nested:
                 at = end.end() if end else len(page)
                 run.append(" ") if nested else None
@@ -174,33 +198,30 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def costs(block: Block) -> tuple[float, float]:
-    """(cost of boilerplate, cost of content) of one block: the classifier."""
-    e, text = block.element, block.text
-    words = text.count(" ") + 1
-    links = block.linked / len(text)
-    content = boiler = 0.2
-    if e.sign == 2:
-        content += 12
-    elif e.sign == 1:
-        content += 3
-    elif e.sign < 0:
-        boiler += 12
-    if links > 0.5 and e.sign < 2:
-        boiler += 2 + 2 * links
-    if words >= 12:
-        content += min(3.0, words / 12) * (1 - links)
-    elif words < 5 and e.sign < 1:
-        boiler += 0.8
+def odds(block: Block) -> float:
+    """The classifier: log-odds that a block by itself is content."""
+    e, text, w = block.element, block.text, WEIGHTS
+    words, links = text.count(" ") + 1, block.linked / len(text)
+    article = e.prior >= w["article"]
+    z = e.prior + w["links in an article" if article else "links"] * links
+    z += min(w["most of words"], w["words"] * words) * (1 - links) if words >= 5 else w["few words"]
     if text[-1] in ".!?\"'”»…" and words >= 4:
-        content += 0.7 * (1 - links)
-    if e.name in ("h1", "h2", "h3") and e.sign >= 0:
-        content += 0.6
-    elif e.name in ("p", "blockquote", "pre") and e.sign >= 0:
-        content += 0.4
-    if e.sign < 2 and text[0] in "©®" or (e.sign < 2 and words < 30 and "all rights reserved" in text.lower()):
-        boiler += 4
-    return content, boiler
+        z += w["sentence"] * (1 - links)
+    if e.name in ("h1", "h2", "h3"):
+        z += w["heading"]
+    elif e.name in ("p", "blockquote", "pre"):
+        z += w["paragraph"]
+    if e.hidden:
+        z += w["hidden"]
+    if not article and (text[0] in "©®" or words < 30 and "all rights reserved" in text.lower()):
+        z += w["rights"]
+    return z
+
+
+def costs(block: Block) -> tuple[float, float]:
+    """(cost of boilerplate, cost of content) of one block."""
+    z = odds(block)
+    return max(z, 0.0), max(-z, 0.0)
 
 
 def _near(a: _Element, b: _Element) -> float:
@@ -275,32 +296,38 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 break
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    terminal = [costs(b) for b in found]
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges (block, block, weight) of adjacent blocks and of neighbours under one parent."""
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
             near = _near(found[i - 1].element, b.element)
-            same = found[i - 1].element.sign == b.element.sign
-            edges.append((i - 1, i, (1.5 if same else 0.3) * near))
+            edges.append((i - 1, i, (SAME_ZONE if found[i - 1].element.zone is b.element.zone else OTHER_ZONE) * near))
         parent = id(b.element.parent)
         if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, 0.5))
+            edges.append((last[parent], i, SAME_PARENT if found[last[parent]].element.zone is b.element.zone else OTHER_ZONE))
         last[parent] = i
-    keep = min_cut([c for c, _ in terminal], [x for _, x in terminal], edges)
-    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
+    return edges
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    terminal = [costs(b) for b in found]
+    return min_cut([c for c, _ in terminal], [x for _, x in terminal], smoothness(found))
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page."""
+    found = blocks(page) if page else []
+    return "\n\n".join(b.text for b, k in zip(found, labels(found)) if k) if found else ""
 
 
 def transform(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             texts = [extract(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
