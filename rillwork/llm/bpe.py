@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 
 import numpy as np
@@ -44,7 +45,6 @@ PAGE_CHARS = 3 << 20
 #: Documents of the sample (about) that the dictionary is taken from, and the most pieces it holds.
 SAMPLE_DOCS = 40_000
 DICTIONARY = 1 << 19
-NO_RANK = 1 << 30
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,8 +69,9 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-#: Bits of an id.
-_ID = 20
+#: Bits of an id, and of a byte's place in a piece.  The last id stands for what is before and after a piece.
+_ID, _PLACE = 20, 7
+_GUARD = (1 << _ID) - 1
 
 
 class RankMap:
@@ -87,30 +88,28 @@ class RankMap:
                 if a is not None and b is not None:
                     merges[a << _ID | b] = rank
         self.slots = 1 << max(4, (len(merges) * 5 // 4).bit_length())
-        self.buckets = max(1, self.slots // 8)
+        self.buckets = max(1, self.slots // 4)
+        hashes = {pair: xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), seed=42) for pair in merges}
+        # The slot's bits of the hash begin where no two pairs of a bucket have the same.
+        mask = self.slots - 1
+        self.above = next(k for k in range(17, 47) if len({(h & (self.buckets - 1), h >> k & mask) for h in hashes.values()}) == len(hashes))
         by_bucket: dict[int, list[tuple[int, int, int]]] = {}
         for pair, rank in merges.items():
-            h = xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), seed=42)
-            by_bucket.setdefault(h & (self.buckets - 1), []).append((h >> 24, pair, rank))
+            by_bucket.setdefault(hashes[pair] & (self.buckets - 1), []).append((hashes[pair] >> self.above, pair, rank))
         #: pair << _ID | rank; -1 where a slot is free
-        self.table, self.shift, mask = [-1] * self.slots, [0] * self.buckets, self.slots - 1
+        self.table, self.shift = [-1] * self.slots, [0] * self.buckets
         for bucket, items in sorted(by_bucket.items(), key=lambda kv: -len(kv[1])):
-            d = 0
-            while True:
-                at = {(h + d * ((h >> 17) | 1)) & mask for h, _, _ in items}
-                if len(at) == len(items) and all(self.table[a] < 0 for a in at):
-                    break
-                d += 1
+            d = next(d for d in itertools.count(bucket * 7919) if all(self.table[(h ^ d) & mask] < 0 for h, _, _ in items)) & mask
             self.shift[bucket] = d
             for h, pair, rank in items:
-                self.table[(h + d * ((h >> 17) | 1)) & mask] = pair << _ID | rank
+                self.table[(h ^ d) & mask] = pair << _ID | rank
         self.bytes = [ranks[bytes((b,))] for b in range(256)]
-        self.pairs = [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
+        self.pairs = [ranks.get(bytes((a, b)), 1 << _ID) for a in range(256) for b in range(256)]
         self.by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.by_id[rank] = token
-        if len(self.by_id) > 1 << _ID:
-            raise ValueError(f"ids must be below {1 << _ID}")
+        if len(self.by_id) > _GUARD:
+            raise ValueError(f"ids must be below {_GUARD}")
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -132,38 +131,44 @@ def with_map(ranks: RankMap, use) -> Column:
 def fold(ranks: RankMap, table: Column, codes: Column) -> Column:
     """The ids (array<int>) of one piece, given as the array of its bytes (0 to 255); table is what with_map passes.
 
-    The state is the ids so far and the rank of each adjacent pair, both with a guard at either end that merges with nothing.  A step
-    merges the pair of lowest rank, the leftmost of equals, and looks up the two pairs that this makes."""
+    The state is one number for each id so far: the rank of the pair that it begins (2**20 if it has none), then the place of its first byte, then
+    the id; with a guard at either end that merges with nothing.  The least number is thus the pair of lowest rank, the leftmost of equals.  A
+    step merges it and looks up the two pairs that this makes."""
     long = lambda n: F.lit(n).cast("bigint")
-    rest = F.lit(1 << 20)
+    none, low = 1 << _ID, _ID + _PLACE
+    id_of = lambda x: x.bitwiseAND(long(_GUARD))
 
     def rank(a: Column, b: Column) -> Column:
-        pair = a * (1 << _ID) + b
+        """What the slot of a pair holds, less the pair: its rank, or, as an unsigned number, at least 2**20."""
+        pair = F.shiftleft(a, _ID).bitwiseOR(b)
         h = F.xxhash64(pair)
-        step = F.shiftrightunsigned(h, 41).bitwiseOR(F.lit(1))
         moved = F.get(table["shift"], h.bitwiseAND(F.lit(ranks.buckets - 1)).cast("int"))
-        slot = (F.shiftrightunsigned(h, 24) + moved * step).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
-        return _let(F.get(table["table"], slot), lambda x: F.when(F.shiftright(x, _ID) == pair, x.bitwiseAND(F.lit((1 << _ID) - 1))).otherwise(long(NO_RANK)))
-
-    def step(state: Column, _: Column) -> Column:
-        t, r = state["t"], state["r"]
+        slot = F.shiftrightunsigned(h, ranks.above).bitwiseXOR(moved).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
+        return F.shiftleft(F.least((F.get(table["table"], slot).bitwiseXOR(F.shiftleft(pair, _ID))).bitwiseAND(long((1 << 63) - 1)), long(none)), low)
 
+    def step(x: Column, _: Column) -> Column:
         def merge(best: Column) -> Column:
+            new, place = F.shiftright(best, low), best.bitwiseAND(long(((1 << _PLACE) - 1) << _ID))
+
             def put(j: Column) -> Column:
-                return F.struct(
-                    F.concat(F.slice(t, F.lit(1), j - 1), F.array(best), F.slice(t, j + 2, rest)).alias("t"),
-                    F.concat(F.slice(r, F.lit(1), j - 2), F.array(rank(F.get(t, j - 2), best), rank(best, F.get(t, j + 1))), F.slice(r, j + 2, rest)).alias("r"),
-                )
+                """Element j is best; the one before it gets a new rank, and the one after it goes.  (Slices and concatenations cost several times as much.)"""
+
+                def at(e: Column, i: Column) -> Column:
+                    before = rank(id_of(e), new).bitwiseOR(e.bitwiseAND(long((1 << low) - 1)))
+                    merged = rank(new, id_of(F.get(x, j + 2))).bitwiseOR(place).bitwiseOR(new)
+                    return F.when(i < j - 1, e).when(i > j + 1, e).when(i == j, merged).when(i < j, before).otherwise(gone)
+
+                return F.array_remove(F.transform(x, at), gone)
 
-            return F.when(best == NO_RANK, state).otherwise(_let(F.array_position(r, best).cast("int"), put))
+            return F.when(best >= long(none << low), x).otherwise(_let(F.array_position(x, best).cast("int") - 1, put))
 
-        return _let(F.array_min(r), merge)
+        return _let(F.array_min(x), merge)
 
-    guard, none = F.array(long(-1)), F.array(long(NO_RANK))
-    first = F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), lambda x, i: F.get(table["pairs"], x * 256 + F.get(codes, i + 1)))
-    begin = F.struct(F.concat(guard, F.transform(codes, lambda x: F.get(table["bytes"], x)), guard).alias("t"), F.concat(none, first, none).alias("r"))
+    gone = long(-1)
+    end = F.array(long(none << low | _GUARD))
+    first = F.transform(codes, lambda c, i: F.shiftleft(F.coalesce(F.get(table["pairs"], c * 256 + F.get(codes, i + 1)), long(none)), low).bitwiseOR(F.shiftleft(i.cast("bigint"), _ID)).bitwiseOR(F.get(table["bytes"], c)))
     steps = F.sequence(F.lit(2), F.greatest(F.size(codes), F.lit(2)))
-    return F.aggregate(steps, begin, step, lambda s: F.slice(s["t"], F.lit(2), F.size(s["t"]) - 2)).cast("array<int>")
+    return F.aggregate(steps, F.concat(end, first, end), step, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), id_of)).cast("array<int>")
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
