@@ -2,7 +2,7 @@
 
 Vectors are quantised (floor(64 * x)) natively and packed, in the partition where they are read, into tiles of at most
 ``TILE`` candidates; the queries are packed into tiles of at most ``QUERIES``.  Every candidate tile is paired with every query tile through an equi-join on a slot
-number; each pair is one matrix product, from which the best k of each query are selected.  The lists of a query are merged first within
+number (about ``PER_SLOT`` candidate tiles have one); each pair is one matrix product, from which the best k of each query are selected.  The lists of a query are merged first within
 groups of tiles and then over the groups, by rank limits that Spark applies before the shuffle too.
 
 Scale.  A task holds one tile pair (a few MB).  Packing needs no shuffle, so no hot key exists; the number of rows shuffled is k a query and
@@ -14,7 +14,7 @@ partial sum exactly, by a bound computed for each tile pair.
 Defined results.  A vector that is null, or holds a null or non-finite component, takes no part.  Vectors are compared with those of the same length;
 empty vectors score 0 with each other.  A query's own row is every row of its vec_id.  Repeated candidate rows each take a rank, and equal scores go to the
 smaller vec_id.  Queries that repeat with the same vector give one list; a vec_id with several different vectors gives a list for
-each.  Scores beyond a long saturate.  Null ids take no part.  Extra columns are ignored.
+each.  Whole components beyond 2**62 count as 2**62, and scores beyond a long saturate.  Null ids take no part.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 SCALE = 64
 TILE = 4096
 QUERIES = 2048
-SLOTS = 64
+#: Candidate tiles that share a slot, about.
+PER_SLOT = 2
 FAN_IN = 16
 _LIMIT = float(2**62)
 
@@ -142,9 +143,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, *, tile: int = TI
     packed = own.repartition(n_tiles, "vec_id").mapInArrow(lambda it: _pack(it, QUERIES), _TILE_SCHEMA)
     q = packed.mapInArrow(_with_keys, _TILE_SCHEMA + ", q_keys binary")
     # Each query tile goes to every slot, and each candidate tile to one: an equi-join pairs all tiles.
-    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    c = _quantised(vectors).mapInArrow(lambda it: _pack(it, tile), _TILE_SCHEMA)
-    c = c.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(SLOTS)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(1 << 30)).cast("int"))
+    tiles = -(-vectors.count() // tile)
+    slots = max(16, tiles // PER_SLOT)
+    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    # Many small partitions would give many small tiles.
+    c = _quantised(vectors).coalesce(max(tiles, vectors.sparkSession.sparkContext.defaultParallelism)).mapInArrow(lambda it: _pack(it, tile), _TILE_SCHEMA)
+    c = c.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(1 << 30)).cast("int"))
     pairs = side(q, "q").join(side(c, "c"), ["dim", "slot"])
     schema = "query_id long, query_key long, vec_id long, score long, tile int"
     lists = pairs.mapInArrow(lambda it: _search(it, k), schema)
