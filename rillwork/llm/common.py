@@ -69,6 +69,23 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if n.lower() not in low)
 
 
+def hash_sample(rows: DataFrame, group: str, key: str, most: int) -> list[tuple]:
+    """(group, key, hash) of at most so many distinct keys of each group, those with the smallest hashes (of the whole table: where rows stand doesn't matter).
+
+    The distinct keys of groups are counted first (by a sketch), so that each task passes on only the keys below a hash that about twice as many
+    reach, and the smallest of all: neither a task nor the driver gets more than that, however many rows, copies or tasks there are."""
+    h = F.xxhash64(key).bitwiseAND(F.lit((1 << 40) - 1))
+    counts = rows.groupBy(group).agg(F.approx_count_distinct(key).alias("_n"), F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("_first"))
+    low = (h * F.col("_n") < F.lit(2 * most * float(1 << 40))) | (h == F.col("_first.h")) & F.col(key).eqNullSafe(F.col("_first.k"))
+    found = rows.select(group, key).join(F.broadcast(counts), group).where(low).select(group, key, h.alias("_h")).distinct().collect()
+    out, held = [], {}
+    for g, k, x in sorted(((r[group], r[key], r["_h"]) for r in found), key=lambda r: (str(r[0]), r[2], r[1] is not None, r[1])):
+        held[g] = held.get(g, 0) + 1
+        if held[g] <= most:
+            out.append((g, k, x))
+    return out
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir.  Where it is unset, a single-process session (as in tests) gets a temporary one; on a
     cluster that is an error, since executors don't share a machine's folders."""

@@ -7,8 +7,10 @@ The automaton is a table of transitions, so all windows of a batch of texts walk
 character place.  Texts are cut into windows of ``WINDOW`` characters that are parsed separately (a phrase ends at a
 window's edge, for all languages alike); every character of every text is parsed.
 
-Training takes a bounded sample: at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` normalised characters a language, picked by
-a hash of doc_id among all labelled rows, and learned in that order with near copies of earlier texts last.  The model's size depends on those bounds alone, so it may be broadcast.
+Training takes a bounded sample: at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` normalised characters a language (``ALL_CHARS`` over all
+languages, so with very many each gets less), picked by a hash of doc_id among all labelled rows, and learned in that order with near copies of earlier
+texts last.  Of a document a piece of at most ``SAMPLE_DOC_CHARS`` characters is learned, from a place that the hash sets.  The model's size depends
+on those bounds alone, so it may be broadcast.
 
 Defined results.  Text that is null, empty or without a letter gives ``und`` and score 0.  Equal phrase counts go to the language first in
 alphabetical order.  With one learned language it always wins with score 1; with none all texts are ``und``.  Repeated rows
@@ -23,18 +25,21 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches, trim
+from rillwork.llm.common import bounded_batches, hash_sample, sliced
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
+ALL_CHARS = 240_000
 #: At most so many characters of one document, so that one text doesn't fill the sample.
 SAMPLE_DOC_CHARS = 1_000
 #: Texts are near copies if they share half of their strings of so many characters.
 NEAR_CHARS = 24
 WINDOW = 1024
+#: Characters of text that a worker parses at once.
+SLICE_CHARS = 2 << 20
 UNKNOWN = "und"
 
 
@@ -188,19 +193,25 @@ class Model:
 
 def fit(labelled: DataFrame) -> Model:
     """Learns from rows (doc_id, text, lang) with a non-null lang, by a bounded sample."""
-    keys = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
-    # Each task passes on at most SAMPLE_DOCS ids a language: the rank limit is applied before the shuffle too.
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= SAMPLE_DOCS).drop("n")
-    ids = chosen.collect()
-    wanted = sorted({r.doc_id for r in ids if r.doc_id is not None})
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    chosen = hash_sample(known, "lang", "doc_id", SAMPLE_DOCS)
+    langs = {g for g, *_ in chosen}
+    chars = min(SAMPLE_CHARS, ALL_CHARS // max(1, len(langs)))
+    # A language with few characters to learn needs few texts; so both ids and texts are bounded over all languages.
+    most = -(-SAMPLE_DOCS * chars // SAMPLE_CHARS)
+    by: dict[str, list[tuple]] = {}
+    for g, k, x in chosen:
+        by.setdefault(g, []).append((k, g, x))
+    picked = [r for own in by.values() for r in own[: max(1, most)]]
     texts: dict[str, list[tuple]] = {}
-    if wanted:
-        head = F.substring("text", 1, 4 * SAMPLE_DOC_CHARS)
-        rows = labelled.where(F.col("doc_id").isin(wanted) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", head.alias("text"), F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id").alias("at"))
+    if picked:
+        ids = labelled.sparkSession.createDataFrame(picked, "doc_id long, lang string, h long")
+        size = 2 * SAMPLE_DOC_CHARS
+        piece = F.substring("text", (1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - size + 1))).cast("int"), F.lit(size))
+        rows = known.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", piece.alias("text"), F.struct("h", "doc_id").alias("at"))
         for r in rows.groupBy("lang", "text").agg(F.min("at").alias("at")).collect():
             texts.setdefault(r.lang, []).append((*r["at"], r.text))
-    return Model({lang: varied([text for *_, text in sorted(own)]) for lang, own in texts.items()})
+    return Model({lang: varied([text for *_, text in sorted(own)]) for lang, own in texts.items()}, chars)
 
 
 def varied(texts: list[str]) -> list[str]:
@@ -215,23 +226,11 @@ def varied(texts: list[str]) -> list[str]:
     return new + near
 
 
-def _slices(batch: pa.RecordBatch, n_text: int, chars: int = 2 << 20):
-    """Parts of a batch of bounded text, so that memory follows characters and not rows."""
-    sizes = np.cumsum([0, *(len(t.as_py() or "") for t in batch.column(n_text))])
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + chars, side="right")) - 1)
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def _predict(batches, model):
-    for whole in batches:
-        for b in _slices(whole, 1):
-            found = model.value.predict(b.column(1).to_pylist())
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *cols], names=[b.schema.names[0], *b.schema.names[2:], "lang_pred", "score"])
-        trim()
+    for b in sliced(batches, 1, SLICE_CHARS):
+        found = model.value.predict(b.column(1).to_pylist())
+        cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *cols], names=[b.schema.names[0], *b.schema.names[2:], "lang_pred", "score"])
 
 
 def held_out(doc_id=None):
@@ -253,13 +252,11 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     n_text, n_lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
-        for b in batches:
-            for part in _slices(b, n_text):
-                found = [f[0] for f in shared.value.predict(part.column(n_text).to_pylist())]
-                cols = list(part.columns)
-                cols[n_lang] = pa.array([own if own is not None else new for own, new in zip(cols[n_lang].to_pylist(), found)], pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
-            trim()
+        for part in sliced(batches, n_text, SLICE_CHARS):
+            found = [f[0] for f in shared.value.predict(part.column(n_text).to_pylist())]
+            cols = list(part.columns)
+            cols[n_lang] = pa.array([own if own is not None else new for own, new in zip(cols[n_lang].to_pylist(), found)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
