@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import bounded_batches
+from rillwork.llm.common import bounded_batches, hash_sample, sliced
 
 SAMPLE_ROWS = 4_000
 PAIRS = 60_000
@@ -105,21 +105,21 @@ class Model:
 
 def _rows(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 0):
             v = np.array([features(t.as_py()) for t in b.column(0)]).reshape(b.num_rows, DIMENSIONS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64())), b.column(1)], names=["v", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["v", "quality", "doc_id"])
 
-    return docs.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "v array<double>, quality int")
+    return docs.select("text", F.col("quality").cast("int").alias("quality"), "doc_id").mapInArrow(run, "v array<double>, quality int, doc_id long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, quality): at most so many rows of each label."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
-    pick = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= rows).drop("n")
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    picked = [(k, g) for g, k, _ in hash_sample(known, "quality", "doc_id", rows)]
     # At most 2 * rows pairs of numbers: bounded, so they may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.length("text")).alias("text"))
-    got = _rows(sample).collect()
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.length("text")).alias("text"))
+    got = sorted(_rows(sample).collect(), key=lambda r: (r.doc_id, r.quality))  # so that the same pairs are drawn each time
     return Model(np.array([r.v for r in got]).reshape(len(got), DIMENSIONS), np.array([r.quality for r in got]))
 
 
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """doc_id, the columns in keep, score and predicted of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             v = np.array([features(t.as_py()) for t in b.column(1)]).reshape(b.num_rows, DIMENSIONS)
             s = model.score(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[b.schema.names[0], *b.schema.names[2:], "score", "predicted"])
