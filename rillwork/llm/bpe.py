@@ -8,7 +8,7 @@ How it works
        sequence of piece numbers.  A piece is held as the array of its bytes.
     4. A higher-order fold merges the adjacent pair of lowest rank of every distinct piece until no pair has a rank.  Ranks come
        from a literal rank map.
-    5. The page is unpacked: a document's ids are gathered by piece number, and its text is decoded by joining the binary
+    5. The page is stored and unpacked: a document's ids are gathered by piece number, and its text is decoded by joining the binary
        pieces of its ids.
 
     No step shuffles documents, so no key can be hot; memory is bounded by the page size and by the longest text.
@@ -209,6 +209,16 @@ class Dictionary:
 _PAGE = "words array<array<int>>, long_at array<int>, long_words array<binary>, ids binary, nulls binary, counts binary, numbers binary"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed, all lowest bytes first, then all of the next, and so on."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed, n: int) -> np.ndarray:
+    plain = pa.decompress(packed, decompressed_size=4 * n, codec="zstd") if n else b""
+    return np.ascontiguousarray(np.frombuffer(plain, dtype=np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+
+
 def _pages(batches, known, page_chars: int):
     """Arrow batches of (doc_id, pieces, chars) to pages.  Piece numbers below the dictionary's size are its own."""
     known_words = known.value
@@ -230,7 +240,7 @@ def _pages(batches, known, page_chars: int):
         row = {
             "words": pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), codes), "long_at": [long], "long_words": [[names[i] for i in long]],
             "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], "nulls": [ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
-            "counts": [counts.astype("<i8").tobytes()], "numbers": [numbers.astype("<i4").tobytes()],
+            "counts": [counts.astype("<i8").tobytes()], "numbers": [_packed(numbers)],
         }
         kinds = [None, pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
@@ -289,7 +299,8 @@ def _documents(batches, ranks_of: dict[bytes, int], known, decoder: Decoder, raw
                 first[at], size[at], tokens = len(tokens), len(ids), np.concatenate([tokens, ids])
             first, size, tokens = np.concatenate([d.first, first + len(d.ids)]), np.concatenate([d.size, size]), np.concatenate([d.ids, tokens])
             read = lambda c, kind: np.frombuffer(col(c).as_buffer(), dtype=kind)
-            doc_ids, nulls, counts, numbers = read("ids", "<i8"), read("nulls", "?"), read("counts", "<i8"), read("numbers", "<i4")
+            doc_ids, nulls, counts = read("ids", "<i8"), read("nulls", "?"), read("counts", "<i8")
+            numbers = _unpacked(col("numbers").as_buffer(), int(counts.sum()))
             out, at = [], 0
             for n in counts.tolist():
                 which = numbers[at : at + n]
@@ -348,7 +359,8 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool =
     known_ids = sc.broadcast(known)
     pages = cut(docs).mapInArrow(lambda it: _pages(it, known_words, page_chars), _PAGE)
     codes = with_map(table, lambda t: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
-    coded = pages.select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers")
+    # Stored, so that a task has one Python worker at a time, and a lost executor costs no fold.
+    coded = stored(pages.select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers"))
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded binary" if raw else "ids_sha256 string, decoded_sha256 string")
     return coded.mapInArrow(lambda it: _documents(it, ranks, known_ids, decoder, raw), schema)
 

@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch.  Texts have no bound, so Spark's usual 10,000 rows may be far more than a worker should hold at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch.  Spark's usual 64 MB are held by the JVM and by the worker, for each of several steps of a task.
+BATCH_BYTES = 4 << 20
+_BATCH, _SPARK = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Keeps the Arrow batches of the session small, unless they are set to something else than Spark's default; returns df."""
-    if df.sparkSession.conf.get(_BATCH) == "10000":
-        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    """Keeps the Arrow batches of the session small, unless they are set to something else than Spark's default; returns df.  Spark reads this
+    setting when a query runs, not when it is made, so it stays set; it changes no result.  session.build() sets it from the start."""
+    if df.sparkSession.conf.get(_BATCH, None) in _SPARK:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df
 
 
