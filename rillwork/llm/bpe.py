@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import itertools
@@ -89,13 +90,14 @@ class RankMap:
                     merges[a << _ID | b] = rank
         self.slots = 1 << max(4, (len(merges) * 5 // 4).bit_length())
         self.buckets = max(1, self.slots // 4)
-        hashes = {pair: xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), seed=42) for pair in merges}
+        hashes = np.array([xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), seed=42) for pair in merges], dtype=np.uint64)
         # The slot's bits of the hash begin where no two pairs of a bucket have the same.
         mask = self.slots - 1
-        self.above = next(k for k in range(17, 47) if len({(h & (self.buckets - 1), h >> k & mask) for h in hashes.values()}) == len(hashes))
+        of, slot = hashes & np.uint64(self.buckets - 1), lambda k: hashes >> np.uint64(k) & np.uint64(mask)
+        self.above = next(k for k in range(17, 47) if len(np.unique(of << np.uint64(32) | slot(k))) == len(hashes))
         by_bucket: dict[int, list[tuple[int, int, int]]] = {}
-        for pair, rank in merges.items():
-            by_bucket.setdefault(hashes[pair] & (self.buckets - 1), []).append((hashes[pair] >> self.above, pair, rank))
+        for (pair, rank), bucket, h in zip(merges.items(), of.tolist(), slot(self.above).tolist()):
+            by_bucket.setdefault(bucket, []).append((h, pair, rank))
         #: pair << _ID | rank; -1 where a slot is free
         self.table, self.shift = [-1] * self.slots, [0] * self.buckets
         for bucket, items in sorted(by_bucket.items(), key=lambda kv: -len(kv[1])):
@@ -199,11 +201,9 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Dictionary:
     """Pieces and their ids, in flat arrays."""
 
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        self.words = pa.array(words, pa.string())
-        self.size = np.array([len(x) for x in ids], dtype=np.int64)
+    def __init__(self, words: pa.Array, size: np.ndarray, ids: np.ndarray):
+        self.words, self.size, self.ids = words, size.astype(np.int64), ids.astype("<u4")
         self.first = np.cumsum(self.size) - self.size
-        self.ids = np.array([i for x in ids for i in x], dtype="<u4")
 
 
 _PAGE = "words array<array<int>>, long_at array<int>, long_words array<binary>, ids binary, nulls binary, counts binary, numbers binary"
@@ -335,24 +335,35 @@ def build_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: RankMap,
         if total > most:
             break
         least = r.n
-    found = dict(tokens)
+    words, size, ids = pa.array(list(tokens), pa.string()), np.ones(len(tokens), dtype=np.int64), np.array([r for r, in tokens.values()])
     if least is not None:
         codes = F.transform(F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), ""), F.ascii)
         rows = counts.where(F.col("n") >= least).select("word", with_map(table, lambda t: fold(table, t, codes)).alias("ids")).toArrow()
-        found = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())) | tokens
-    return Dictionary(list(found), list(found.values()))
+        rows = rows.filter(pc.invert(pc.is_in(rows.column("word"), value_set=words))).combine_chunks()
+        lists = rows.column("ids").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.concatenate([size, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+        ids = np.concatenate([ids, lists.flatten().to_numpy(zero_copy_only=False)])
+        words = pa.concat_arrays([words, *(c.cast(pa.string()) for c in rows.column("word").chunks)])
+    return Dictionary(words, size, ids)
+
+
+@functools.lru_cache(1)
+def _tables(rank_file: str) -> tuple[dict[bytes, int], RankMap]:
+    ranks = load_ranks(rank_file)
+    return ranks, RankMap(ranks)
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool = False, page_chars: int = PAGE_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with raw=True (doc_id, n_tokens, ids, decoded)."""
     docs = bounded_batches(docs)
-    ranks = load_ranks(rank_file)
-    table = RankMap(ranks)
+    ranks, table = _tables(rank_file)
     decoder = Decoder(table.by_id)
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = lambda df: df.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("chars"))
     part = max(1, -(-docs.count() // SAMPLE_DOCS))
     known = build_dictionary(cut(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)), ranks, table)
+    trim()
     sc = docs.sparkSession.sparkContext
     known_words = sc.broadcast(known.words)
     known.words = None  # the last step needs the ids alone
@@ -367,7 +378,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool =
 
 def decode_ids(tokens: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded binary: the pieces of the ids joined, natively.  Null ids give null."""
-    by_id = _literal([t.decode("latin-1") for t in RankMap(load_ranks(rank_file)).by_id], "array<string>")
+    by_id = _literal([t.decode("latin-1") for t in _tables(rank_file)[1].by_id], "array<string>")
     return tokens.withColumn("decoded", F.encode(F.array_join(F.transform(ids_col, lambda i: F.get(by_id, i)), ""), "ISO-8859-1"))
 
 
