@@ -213,7 +213,8 @@ def _reduce(edge: Edge, fn: Function, n: int, limit: int | None) -> Edge:
         df = edge.df.select(key.alias("key"), "value").groupBy("key").agg(fn.aggregate(F.col("value")).alias("value"))
         return placed(df, dynamic=False)
     if len(edge.order) != 2:
-        edge = replace(edge, df=edge.df.withColumns({"ord_major": F.lit(0).cast("long"), "ord_minor": F.monotonically_increasing_id()}), order=("ord_major", "ord_minor"))
+        # Without an order of its own a source has that of its partitions, so that a hot key is gathered a partition at a time.
+        edge = replace(edge, df=edge.df.withColumns({"ord_major": F.spark_partition_id().cast("long"), "ord_minor": F.monotonically_increasing_id()}), order=("ord_major", "ord_minor"))
     if _native(fn, edge):
         return placed(_fold_columns(edge, key, fn), dynamic=False)
     return placed(_fold_python(edge, key, fn), dynamic=edge.dynamic or fn.returns is None)
@@ -265,17 +266,26 @@ def _fold_python(edge: Edge, key: Column, fn: Function) -> DataFrame:
         yield out(held)
 
     again = decode if dynamic else (lambda v: v)
+    pair = to_arrow_schema(T.StructType(schema.fields[:2]))
 
-    def finish(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("ord_major").to_pylist(), table.column("ord_minor").to_pylist(), range(table.num_rows)))
-        values = table.column("value").to_pylist()
-        total = again(values[rows[0][2]])
-        for _, _, i in rows[1:]:
-            total = f(total, again(values[i]))
-        return pa.table({"key": table.column("key").slice(0, 1), "value": pa.array([write(total)], arrow.field("value").type)})
+    def finish(batches):
+        """Rows in order of key and place: one key is held at a time, and a batch of results."""
+        key, total = None, None
+        for b in batches:
+            done = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k == key:
+                    total = f(total, again(v))
+                else:
+                    if key is not None:
+                        done.append((key, write(total)))
+                    key, total = k, again(v)
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t.type) for i, t in enumerate(pair)], schema=pair)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pair[0].type), pa.array([write(total)], pair[1].type)], schema=pair)
 
     partial = edge.df.select(key.alias("key"), "value", *edge.order).mapInArrow(combine, schema)
-    return partial.groupBy("key").applyInArrow(finish, T.StructType(schema.fields[:2]))
+    return partial.repartition("key").sortWithinPartitions("key", *edge.order).mapInArrow(finish, T.StructType(schema.fields[:2]))
 
 
 _APPLY = {"map": ("map", _map), "filter": ("filter", _filter), "map_to_pair": ("pair-map", _map_to_pair), "map_values": ("value-map", _map_values)}

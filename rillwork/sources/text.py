@@ -34,13 +34,19 @@ def _regular_file(spark: SparkSession, path: str):
 
 
 def text_file(spark: SparkSession, path: str, num_partitions: int) -> DataFrame:
-    """Lines of one file: split at \\n alone, one trailing \\r taken off, blank lines kept, order kept by (split, row)."""
+    """Lines of one file: split at \\n alone, one trailing \\r taken off, blank lines kept, order kept by (split, row).
+
+    The frame has num_partitions partitions: Spark's splits of the file are put together where there are more, which moves nothing, and cut by
+    ranges of rows where there are fewer, as for small files."""
     _regular_file(spark, path)
     plain = re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
     lines = spark.read.option("lineSep", "\n").text(plain)
     v = F.col("value")  # cut by characters, not by a pattern: patterns replace bytes that aren't UTF-8
     line = F.when(v.endswith("\r"), F.substring(v, F.lit(1), F.length(v) - 1)).otherwise(v)
-    return lines.select(line.alias("record"), F.col("_metadata.file_block_start").alias("ord_major"), F.monotonically_increasing_id().alias("ord_minor"))
+    rows = lines.select(line.alias("record"), F.col("_metadata.file_block_start").alias("ord_major"), F.monotonically_increasing_id().alias("ord_minor"))
+    if rows.rdd.getNumPartitions() >= num_partitions:
+        return rows.coalesce(num_partitions)
+    return rows.repartitionByRange(num_partitions, "ord_major", "ord_minor").sortWithinPartitions("ord_major", "ord_minor")
 
 
 def from_frame(make: Callable[[SparkSession], DataFrame]) -> Source:
