@@ -39,3 +39,21 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_package_that_fails_to_import_leaves_the_rest(monkeypatch):
+    import importlib
+
+    def broken(name):
+        raise ImportError("no such library", name="somelib")
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(catalog.QUERIES)
+        assert set(entry.oracle_sql()) == set(catalog.ORACLE_SQL)
+
+
+def test_every_sql_is_text_that_duckdb_runs(db):
+    for name, sql in entry.oracle_sql().items():
+        assert isinstance(sql, str)
+        db.sql(f"EXPLAIN {sql}")

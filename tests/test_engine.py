@@ -510,3 +510,27 @@ def test_http(spark, text_path, tmp_path, capsys):
         server.shutdown()
     with pytest.raises(JobError):
         http.submit(url, b"{}", 5, 1000) if server.server_close() is None else None
+
+
+@pytest.mark.parametrize("width", [1, 3, 7])
+def test_text_width(spark, text_path, width):
+    """The source has as many partitions as asked for, and the order of the lines doesn't change."""
+    from rillwork.sources.text import text_file
+
+    lines = [f"line {i}" for i in range(100)]
+    df = text_file(spark, text_path("\n".join(lines).encode()), width)
+    assert df.rdd.getNumPartitions() == width
+    assert [r.record for r in df.orderBy("ord_major", "ord_minor").collect()] == lines
+
+
+def test_ordered_python_fold_over_ranges(spark, text_path):
+    from rillwork import Context, default_registry, hash_partitioner
+
+    r = default_registry()
+    r.register_pair_map("letter", lambda x: (x[0], x[1:]), returns="string")
+    r.register_reduce("then", lambda a, b: a + "," + b, returns="string")
+    lines = [f"{'ab'[i % 3 == 0]}{i}" for i in range(200)]
+    want = {k: ",".join(x[1:] for x in lines if x[0] == k) for k in "ab"}
+    for width in (1, 4, 9):
+        got = Context(spark, r).text_file(text_path("\n".join(lines).encode()), width).map_to_pair("letter").reduce_by_key("then", hash_partitioner(3)).collect()
+        assert {p.key: p.value for p in got} == want
