@@ -105,6 +105,7 @@ class RankMap:
             self.shift[bucket] = d
             for h, pair, rank in items:
                 self.table[(h ^ d) & mask] = pair << _ID | rank
+        self.table, self.shift = np.array(self.table, dtype=np.int64), np.array(self.shift, dtype=np.int32)
         self.bytes = [ranks[bytes((b,))] for b in range(256)]
         self.pairs = [ranks.get(bytes((a, b)), 1 << _ID) for a in range(256) for b in range(256)]
         self.by_id = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -116,7 +117,7 @@ class RankMap:
 
 def _literal(values: list, kind: str) -> Column:
     """A list as a foldable column."""
-    return F.from_json(F.lit(json.dumps(values)), kind)
+    return F.from_json(F.lit(json.dumps(values.tolist() if isinstance(values, np.ndarray) else values)), kind)
 
 
 def _let(value: Column, use) -> Column:

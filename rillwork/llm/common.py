@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -118,19 +118,23 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     are aggregated per node, so a node with very many edges is combined before the shuffle; the joins may be split by AQE.
     Where rounds is given and too few, that is an error; links are never left out.
     """
-    e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-    before = mark(e)
+    def kept(d: DataFrame) -> tuple[DataFrame, tuple]:
+        """Stored, with its number of edges and a sum of their hashes, taken while it is written."""
+        seen = Observation()
+        d = stored(d.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))).alias("h")))
+        return d, (seen.get["n"], seen.get["h"])
+
+    e, before = kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for done in itertools.count() if before[0] else ():
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"components are not complete after {rounds} rounds")
+        # Without hints each of these joins would gather one side on the driver, again and again, as long as edges are few.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = stored(small.select("x.*").where("a <> b").distinct())
-        after = mark(e)
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        e, after = kept(small.select("x.*").where("a <> b").distinct())
         if after == before:
             break
         before = after
