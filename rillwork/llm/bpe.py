@@ -7,7 +7,7 @@ How it works
     3. Each task packs its rows into *pages*: the distinct pieces of the page that the dictionary lacks, and for every document the
        sequence of piece numbers.  A piece is held as the array of its bytes.
     4. A higher-order fold merges the adjacent pair of lowest rank of every distinct piece until no pair has a rank.  Ranks come
-       from a literal rank map.
+       from a rank map that is a constant of the query.
     5. The page is stored and unpacked: a document's ids are gathered by piece number, and its text is decoded by joining the binary
        pieces of its ids.
 
@@ -76,9 +76,9 @@ _GUARD = (1 << _ID) - 1
 
 
 class RankMap:
-    """A literal map from pairs of adjacent ids to the rank (which is the id) of what they merge to.
+    """A map from pairs of adjacent ids to the rank (which is the id) of what they merge to, as a constant of a query.
 
-    A map literal is searched from its start, so the map is laid out as a perfect hash: each bucket of pairs has a displacement that
+    A map of Spark is searched from its start, so this one is laid out as a perfect hash: each bucket of pairs has a displacement that
     sends its pairs to free slots of one flat table, and a lookup reads one slot.  Flat arrays also keep the plan quick to send."""
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -117,7 +117,7 @@ class RankMap:
 
 def _literal(values: list, kind: str) -> Column:
     """A list as a foldable column."""
-    return F.from_json(F.lit(json.dumps(values.tolist() if isinstance(values, np.ndarray) else values)), kind)
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def _let(value: Column, use) -> Column:
@@ -125,10 +125,23 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def with_map(ranks: RankMap, use) -> Column:
-    """use(map), with the literal rank map in the plan once, however often it is read."""
-    parts = {"table": "array<bigint>", "shift": "array<int>", "pairs": "array<bigint>", "bytes": "array<bigint>"}
-    return _let(F.struct(*(_literal(getattr(ranks, k), kind).alias(k) for k, kind in parts.items())), use)
+_MAP, _PARTS = "rank_map", {"table": pa.int64(), "shift": pa.int32(), "pairs": pa.int64(), "bytes": pa.int64()}
+
+
+def beside_map(rows: DataFrame, ranks: RankMap) -> DataFrame:
+    """The rows with the rank map, a constant of the query, as a column for `with_map`.
+
+    It is a scalar subquery over one local row: Spark puts its value into the tasks, but not into the text of plans.  There a literal takes 3 MB, and
+    Spark keeps the texts of plans and of their nodes on the driver for every query that was run.  (Higher-order functions can't hold a
+    subquery themselves; Spark joins this projection with the one that reads it, so no row holds a copy.)"""
+    row = [pa.array([getattr(ranks, k)], pa.list_(pa.field("element", kind, nullable=False))) for k, kind in _PARTS.items()]
+    table = rows.sparkSession.createDataFrame(pa.table(row, names=list(_PARTS)))
+    return rows.select("*", table.select(F.struct(*_PARTS)).scalar().alias(_MAP))
+
+
+def with_map(use) -> Column:
+    """use(map) in a row of beside_map; the map's fields are read once a row, however often they are used."""
+    return _let(F.col(_MAP), lambda m: _let(F.struct(*(m[k].alias(k) for k in _PARTS)), use))
 
 
 def fold(ranks: RankMap, table: Column, codes: Column) -> Column:
@@ -339,7 +352,7 @@ def build_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: RankMap,
     words, size, ids = pa.array(list(tokens), pa.string()), np.ones(len(tokens), dtype=np.int64), np.array([r for r, in tokens.values()])
     if least is not None:
         codes = F.transform(F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), ""), F.ascii)
-        rows = counts.where(F.col("n") >= least).select("word", with_map(table, lambda t: fold(table, t, codes)).alias("ids")).toArrow()
+        rows = beside_map(counts.where(F.col("n") >= least), table).select("word", with_map(lambda t: fold(table, t, codes)).alias("ids")).toArrow()
         rows = rows.filter(pc.invert(pc.is_in(rows.column("word"), value_set=words))).combine_chunks()
         lists = rows.column("ids").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
@@ -370,9 +383,9 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, raw: bool =
     known.words = None  # the last step needs the ids alone
     known_ids = sc.broadcast(known)
     pages = cut(docs).mapInArrow(lambda it: _pages(it, known_words, page_chars), _PAGE)
-    codes = with_map(table, lambda t: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
+    codes = with_map(lambda t: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(table, t, w)).otherwise(F.array().cast("array<int>"))))
     # Stored, so that a task has one Python worker at a time, and a lost executor costs no fold.
-    coded = stored(pages.select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers"))
+    coded = stored(beside_map(pages, table).select(codes.alias("codes"), "long_at", "long_words", "ids", "nulls", "counts", "numbers"))
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded binary" if raw else "ids_sha256 string, decoded_sha256 string")
     return coded.mapInArrow(lambda it: _documents(it, ranks, known_ids, decoder, raw), schema)
 

@@ -52,6 +52,24 @@ def test_null_id_repeats_and_empty(spark, docs):
     assert bpe.encode_decode(docs(["x"]).where("false"), FILE, P.PATTERN).collect() == []
 
 
+def test_plans_do_not_hold_the_rank_map(spark, docs):
+    """Spark keeps the text of every plan, and of its nodes, on the driver."""
+    kept, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def runs():
+        bus.waitUntilEmpty(30_000)
+        found = kept.executionsList()
+        return {e.executionId(): e for e in (found.apply(i) for i in range(found.size()))}
+
+    before = runs()
+    check(bpe.encode_decode(docs(TEXTS), FILE, P.PATTERN).collect(), TEXTS)
+    own = {k: e for k, e in runs().items() if k not in before}
+    assert any("Subquery" in e.physicalPlanDescription() for e in own.values())
+    for k, e in own.items():
+        nodes = kept.planGraph(k).allNodes()
+        assert len(e.physicalPlanDescription()) + sum(len(nodes.apply(i).desc()) for i in range(nodes.size())) < 100_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(min_size=1, max_size=60) | st.text("aeno tish", min_size=1, max_size=80).map(str.encode))
 def test_heap_merges_as_the_simple_rule(piece):
